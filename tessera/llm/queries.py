@@ -38,8 +38,14 @@ def op4_piece_encoding(spark: SparkSession, at: str) -> DataFrame:
     return encoding_digests(_table(spark, at, "documents"), "doc_id", "text", public_tokenizers.path("piece_bpe_32k.model")).withColumnRenamed("id", "doc_id")
 
 
+def op6_repeat_removal(spark: SparkSession, at: str) -> DataFrame:
+    from .repeats import removal_digests
+
+    return removal_digests(_table(spark, at, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_rendezvous_shards, op3_simhash_near_dedup, op4_piece_encoding)}
+    return {f.__name__: f for f in (op1_rendezvous_shards, op3_simhash_near_dedup, op4_piece_encoding, op6_repeat_removal)}
 
 
 def oracle_sql() -> dict[str, str]:
