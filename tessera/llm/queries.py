@@ -38,6 +38,14 @@ def op4_piece_encoding(spark: SparkSession, at: str) -> DataFrame:
     return encoding_digests(_table(spark, at, "documents"), "doc_id", "text", public_tokenizers.path("piece_bpe_32k.model")).withColumnRenamed("id", "doc_id")
 
 
+def op5_rank_order_language(spark: SparkSession, at: str) -> DataFrame:
+    from .language import of_third, profiles, with_language
+
+    docs = _table(spark, at, "documents")
+    ranked = profiles(docs.where(of_third("doc_id") != 1), "text", "lang")
+    return with_language(docs.select("doc_id", "text", (of_third("doc_id") == 1).alias("held_out")), "text", ranked).drop("text")
+
+
 def op6_repeat_removal(spark: SparkSession, at: str) -> DataFrame:
     from .repeats import removal_digests
 
@@ -45,7 +53,7 @@ def op6_repeat_removal(spark: SparkSession, at: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_rendezvous_shards, op3_simhash_near_dedup, op4_piece_encoding, op6_repeat_removal)}
+    return {f.__name__: f for f in (op1_rendezvous_shards, op3_simhash_near_dedup, op4_piece_encoding, op5_rank_order_language, op6_repeat_removal)}
 
 
 def oracle_sql() -> dict[str, str]:
