@@ -52,8 +52,24 @@ def op6_repeat_removal(spark: SparkSession, at: str) -> DataFrame:
     return removal_digests(_table(spark, at, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
+def fitted_chain(docs: DataFrame, labels: DataFrame):
+    """The toxicity chain of the test tables: whether toxic, then whether of low quality."""
+    from pyspark.sql import functions as F
+
+    from .toxicity import fit_chain
+
+    return fit_chain(docs, labels.withColumn("low_quality", 1 - F.col("quality")), "doc_id", "text", ["toxic", "low_quality"])
+
+
+def op10_toxicity_chain(spark: SparkSession, at: str) -> DataFrame:
+    from .toxicity import with_toxicity
+
+    docs = _table(spark, at, "documents")
+    return with_toxicity(docs.select("doc_id", "text"), "text", fitted_chain(docs, _table(spark, at, "labels")), "toxic").drop("text")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_rendezvous_shards, op3_simhash_near_dedup, op4_piece_encoding, op5_rank_order_language, op6_repeat_removal)}
+    return {f.__name__: f for f in (op1_rendezvous_shards, op3_simhash_near_dedup, op4_piece_encoding, op5_rank_order_language, op6_repeat_removal, op10_toxicity_chain)}
 
 
 def oracle_sql() -> dict[str, str]:
