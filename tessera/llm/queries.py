@@ -52,6 +52,34 @@ def op6_repeat_removal(spark: SparkSession, at: str) -> DataFrame:
     return removal_digests(_table(spark, at, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
+def op7_term_at_a_time(spark: SparkSession, at: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .topk import top_k, usable
+
+    rows = _table(spark, at, "embeddings").where(usable(F.col("embedding")))
+    rows = rows.select("vec_id", F.transform("embedding", lambda x: F.floor(F.lit(256.0) * x.cast("double"))).alias("v"))
+    return top_k(rows.where("vec_id % 50 = 0"), rows, "vec_id", "v", 5).withColumnRenamed("id", "vec_id")
+
+
+OP8_SIZES = [256, 512, 1024, 2048, 4096]
+
+
+def op8_variable_best_fit(spark: SparkSession, at: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .packing import best_fit, word_count
+
+    return best_fit(_table(spark, at, "documents"), "doc_id", word_count(F.col("text")), OP8_SIZES).withColumnRenamed("id", "doc_id")
+
+
+def op9_nn_descent(spark: SparkSession, at: str) -> DataFrame:
+    from .ann import nearest
+
+    rows = _table(spark, at, "embeddings")
+    return nearest(rows, rows.where("vec_id % 20 = 0"), "vec_id", "embedding", 20).withColumnRenamed("id", "vec_id")
+
+
 def fitted_chain(docs: DataFrame, labels: DataFrame):
     """The toxicity chain of the test tables: whether toxic, then whether of low quality."""
     from pyspark.sql import functions as F
@@ -69,7 +97,7 @@ def op10_toxicity_chain(spark: SparkSession, at: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_rendezvous_shards, op3_simhash_near_dedup, op4_piece_encoding, op5_rank_order_language, op6_repeat_removal, op10_toxicity_chain)}
+    return {f.__name__: f for f in (op1_rendezvous_shards, op3_simhash_near_dedup, op4_piece_encoding, op5_rank_order_language, op6_repeat_removal, op7_term_at_a_time, op8_variable_best_fit, op9_nn_descent, op10_toxicity_chain)}
 
 
 def oracle_sql() -> dict[str, str]:
