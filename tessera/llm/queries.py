@@ -24,6 +24,39 @@ def op1_rendezvous_shards(spark: SparkSession, at: str) -> DataFrame:
     return rows.select(F.col("key").alias("doc_id"), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op2_tool_call_linking(spark: SparkSession, at: str) -> DataFrame:
+    from .toolcalls import chat_schemas, linked, turns_as_calls
+
+    return linked(*turns_as_calls(_table(spark, at, "conversations")), chat_schemas(spark))
+
+
+OP2_SQL = """
+with asked as (
+  select cast(conv_id as varchar) as conv_id, cast(turn as varchar) as call_id, turn as position, role, text from conversations where role in ('user', 'system')
+), results as (
+  select cast(conv_id as varchar) as conv_id, cast(turn - 1 as varchar) as call_id, turn as position, text as content from conversations where role = 'assistant'
+), firsts as (
+  select conv_id, call_id, min_by(position, (position, content)) as position, min_by(content, (position, content)) as content, count(*) as results from results group by all
+), joined as (
+  select a.conv_id, a.call_id, a.position, a.role, a.text, f.content, f.results, f.position as answered,
+    concat_ws('; ',
+      case when a.text is null then 'missing prompt' when length(a.text) < 1 or (a.role = 'user' and length(a.text) > 400) then 'out of range: prompt' end,
+      case when a.position < 0 or (a.role = 'system' and a.position > 0) then 'out of range: turn' end) as faults,
+    case when f.conv_id is null then 'unanswered' when f.position < a.position then 'early' else 'ok' end as status
+  from asked a left join firsts f on a.conv_id = f.conv_id and a.call_id = f.call_id
+)
+select conv_id, call_id, position, position as order_after, 0 as order_depth, false as cyclic, status, coalesce(results, 0) as results, faults = '' as valid, faults,
+  '{"arguments":{' || case when text is null then '' else '"prompt":' || cast(to_json(text) as varchar) || ',' end || '"turn":"' || call_id || '"}'
+  || case when content is null then '' else ',"content":' || cast(to_json(content) as varchar) end
+  || ',"id":"' || call_id || '","name":"' || case when role = 'user' then 'reply' else 'setup' end || '","status":"' || status || '","valid":' || case when faults = '' then 'true' else 'false' end || '}' as canonical
+from joined
+union all
+select conv_id, call_id, position, position, 0, false, 'orphan', results, false, 'no call',
+  '{' || case when content is null then '' else '"content":' || cast(to_json(content) as varchar) || ',' end || '"id":"' || call_id || '","status":"orphan","valid":false}'
+from firsts f where not exists (select 1 from asked a where a.conv_id = f.conv_id and a.call_id = f.call_id)
+"""
+
+
 def op3_simhash_near_dedup(spark: SparkSession, at: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -97,8 +130,8 @@ def op10_toxicity_chain(spark: SparkSession, at: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_rendezvous_shards, op3_simhash_near_dedup, op4_piece_encoding, op5_rank_order_language, op6_repeat_removal, op7_term_at_a_time, op8_variable_best_fit, op9_nn_descent, op10_toxicity_chain)}
+    return {f.__name__: f for f in (op1_rendezvous_shards, op2_tool_call_linking, op3_simhash_near_dedup, op4_piece_encoding, op5_rank_order_language, op6_repeat_removal, op7_term_at_a_time, op8_variable_best_fit, op9_nn_descent, op10_toxicity_chain)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_tool_call_linking": OP2_SQL}
