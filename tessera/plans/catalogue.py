@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import documents, search
+from .registry import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
+MODULES = (search, documents)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {k: f for m in MODULES for k, f in m.R.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for m in MODULES for k, s in m.R.sql.items()}
