@@ -262,11 +262,12 @@ def flatten_text_ids(raw: Column) -> Column:
 def query_ngrams(query: Column, longest: int = 4) -> Column:
     """Distinct windows of 1 to `longest` tokens, joined by spaces and by dots."""
     words = tokens(query)
-    windows = [
-        F.flatten(F.transform(F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i, n=n: F.array(F.array_join(F.slice(words, i, n), " "), F.array_join(F.slice(words, i, n), "."))))
-        for n in range(1, longest + 1)
-    ]
-    return F.array_distinct(F.concat(*windows))
+
+    def of_length(n: int) -> Column:
+        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.flatten(F.transform(starts, lambda i: F.array(F.array_join(F.slice(words, i, n), " "), F.array_join(F.slice(words, i, n), "."))))
+
+    return F.array_distinct(F.concat(*[of_length(n) for n in range(1, longest + 1)]))
 
 
 def authority_rank(visibility: Column) -> Column:

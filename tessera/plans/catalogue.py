@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import documents, search
+from . import documents, graph, search
 from .registry import Query
 
-MODULES = (search, documents)
+MODULES = (search, documents, graph)
 
 
 def queries() -> dict[str, Query]:
