@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 TOKEN = r"[\p{L}\p{N}]+"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body's own lambdas use it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def trim_space(text: Column) -> Column:
     """The text without white space of any kind at both ends."""
     return F.regexp_replace(text, r"^\s+|\s+$", "")
@@ -261,13 +266,11 @@ def flatten_text_ids(raw: Column) -> Column:
 
 def query_ngrams(query: Column, longest: int = 4) -> Column:
     """Distinct windows of 1 to `longest` tokens, joined by spaces and by dots."""
-    words = tokens(query)
-
-    def of_length(n: int) -> Column:
+    def of_length(words: Column, n: int) -> Column:
         starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
         return F.flatten(F.transform(starts, lambda i: F.array(F.array_join(F.slice(words, i, n), " "), F.array_join(F.slice(words, i, n), "."))))
 
-    return F.array_distinct(F.concat(*[of_length(n) for n in range(1, longest + 1)]))
+    return let(tokens(query), lambda words: F.array_distinct(F.concat(*[of_length(words, n) for n in range(1, longest + 1)])))
 
 
 def authority_rank(visibility: Column) -> Column:

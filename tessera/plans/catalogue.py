@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import documents, graph, search
+from . import documents, evaluation, graph, search
 from .registry import Query
 
-MODULES = (search, documents, graph)
+MODULES = (search, documents, graph, evaluation)
 
 
 def queries() -> dict[str, Query]:
