@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .textbytes import STEP_BYTES, steps, text_buffer
+from .textbytes import STEP_BYTES, slices, steps, text_buffer
 
 #: Bytes of pieces in a shard that gets a transform of its own, and in a group whose shards are merged.
 SHARD_BYTES = 512 << 10
@@ -90,13 +90,18 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
+def anchor_width(length: int) -> int:
+    """Bytes of an anchor for strings of a length: 64 for 400."""
+    return max(1, length * 4 // 25)
+
+
 def runs_of(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(anchor, first start, starts) of each run in texts that lie one after another."""
-    short = max(1, length * 4 // 25)
+    """(anchor, first start, starts, the anchor's place after the first start) of each run in texts that lie one after another."""
+    short = anchor_width(length)
     hashed = rolling(data, short)
     low = _least(hashed, length - short + 1)
     if not len(low):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     size = np.diff(offsets)
     valid = np.zeros(len(data) + 1, np.int8)
     fits = size >= length
@@ -109,7 +114,8 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     head = np.flatnonzero(new)
     many = np.diff(np.r_[head, len(low)])
     ok = live[head]
-    return hashed[low[head[ok]]], head[ok], many[ok]
+    place = low[head[ok]].astype(np.int64)
+    return hashed[place], head[ok], many[ok], place - head[ok]
 
 
 def _segments(raw: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
@@ -125,7 +131,7 @@ def _segments(raw: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tup
 
 
 def _runs(df: DataFrame, length: int) -> DataFrame:
-    """(anchor, span, tkey, tlen, lo, n) of every run; df has tkey, tlen, t."""
+    """(anchor, span, tkey, tlen, lo, shape) of every run; df has tkey, tlen, t. shape: starts, and the anchor's place times 2^16."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: Counter = Counter()
@@ -140,7 +146,7 @@ def _runs(df: DataFrame, length: int) -> DataFrame:
                 continue
             key, size = x.column(0).to_numpy(), x.column(1).to_numpy()
             for raw, offsets, row, at in _segments(*text_buffer(x.column(2)), length):
-                anchor, lo, n = runs_of(raw, offsets, length)
+                anchor, lo, n, place = runs_of(raw, offsets, length)
                 if not len(lo):
                     continue
                 of = np.searchsorted(offsets, lo, "right") - 1
@@ -150,12 +156,12 @@ def _runs(df: DataFrame, length: int) -> DataFrame:
                     [
                         pa.array(anchor.view(np.int64)), pa.array(np.array(span, np.uint64).view(np.int64)),
                         pa.array(key[row + of]), pa.array(size[row + of]),
-                        pa.array(lo - offsets[of] + at), pa.array(n.astype(np.int32)),
+                        pa.array(lo - offsets[of] + at), pa.array((n + (place << 16)).astype(np.int32)),
                     ],
-                    names=["anchor", "span", "tkey", "tlen", "lo", "n"],
+                    names=["anchor", "span", "tkey", "tlen", "lo", "shape"],
                 )
 
-    return df.select("tkey", "tlen", "t").mapInArrow(run, "anchor long, span long, tkey long, tlen int, lo long, n int")
+    return df.select("tkey", "tlen", "t").mapInArrow(run, "anchor long, span long, tkey long, tlen int, lo long, shape int")
 
 
 def symbol_width(length: int) -> int:
@@ -293,15 +299,36 @@ def _stretches(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]
     return starts[cut], starts[np.r_[cut[1:] - 1, len(starts) - 1]] + length
 
 
+def with_partner(pieces: list[tuple[int, int, bytes]], length: int) -> list[bool]:
+    """Whether another piece (anchor, place of the anchor, bytes) has this one's anchor and context on a side.
+
+    A window holds half of its further bytes or more on one side of its anchor, so pieces that agree with
+    no other on either of these halves repeat nothing.
+    """
+    short = anchor_width(length)
+    half = (length - short) // 2
+    sides, count = [], Counter()
+    for anchor, place, p in pieces:
+        left = (anchor, 0, xxhash.xxh3_64_intdigest(p[place - half : place + short])) if place >= half else None
+        right = (anchor, 1, xxhash.xxh3_64_intdigest(p[place : place + short + half])) if len(p) >= place + short + half else None
+        sides.append((left, right))
+        count.update(s for s in (left, right) if s)
+    return [any(s and count[s] > 1 for s in x) for x in sides]
+
+
 def _merged(partition_col: str, pieces: DataFrame, length: int) -> DataFrame:
     """(tkey, tlen, lo, hi) of repeats among the pieces of each group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int, int], tuple[int, bytes]] = {}
+        held: dict[tuple[int, int, int], tuple[int, int, int, bytes]] = {}
         group = None
 
         def settle() -> Iterator[pa.RecordBatch]:
-            rows = [(k, w, p) for k, (w, p) in held.items()]
+            rows = [(k, w, p) for k, (w, _, _, p) in held.items()]
+            may = with_partner([x[1:] for x in held.values()], length)
+            rows = [r for r, ok in zip(rows, may, strict=True) if ok]
+            if not rows:
+                return
             found = repeated_starts([p for _, _, p in rows], [w for _, w, _ in rows], length)
             out = []
             for ((key, size, lo), w, _), starts in zip(rows, found, strict=True):
@@ -311,20 +338,18 @@ def _merged(partition_col: str, pieces: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["tkey", "tlen", "lo", "hi"])
 
         for x in batches:
-            for g, key, size, lo, w, p in zip(*(c.to_pylist() for c in x.columns), strict=True):
+            for g, key, size, lo, w, anchor, place, p in zip(*(c.to_pylist() for c in x.columns), strict=True):
                 if g != group and held:
                     yield from settle()
                     held = {}
                 group = g
-                held[key, size, lo] = (w, p)
+                held[key, size, lo] = (w, anchor, place, p)
         if held:
             yield from settle()
 
-    spark = pieces.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return (
-        pieces.select(partition_col, "tkey", "tlen", "lo", "w", "piece").repartition(n, partition_col).sortWithinPartitions(partition_col).mapInArrow(run, "tkey long, tlen int, lo long, hi long")
-    )
+    n = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = pieces.select(partition_col, "tkey", "tlen", "lo", "w", "anchor", "place", "piece")
+    return rows.repartition(n, partition_col).sortWithinPartitions(partition_col).mapInArrow(run, "tkey long, tlen int, lo long, hi long")
 
 
 def _counted(pieces: DataFrame, length: int) -> DataFrame:
@@ -353,23 +378,25 @@ def keyed(df: DataFrame, text_col: str) -> DataFrame:
 
 def repeated_ranges(texts: DataFrame, length: int) -> DataFrame:
     """(tkey, tlen, ranges array<struct<lo,hi>>) of each distinct text with repeats; texts has t, tkey, tlen."""
-    spark = texts.sparkSession
-    ensure_checkpoint_dir(spark)
+    if not 1 <= length < 1 << 15:
+        raise ValueError("length is 1 to 32767 bytes")
+    ensure_checkpoint_dir(texts.sparkSession)
+    starts = F.col("shape").bitwiseAND(F.lit(0xFFFF))
     runs = _runs(texts, length).checkpoint()
     classes = runs.groupBy("anchor").agg(F.count("*").alias("met"), F.min("span").alias("s0"), F.max("span").alias("s1")).where("met >= 2")
     hits = runs.join(classes.select("anchor", (F.col("s0") != F.col("s1")).alias("mixed")), "anchor").checkpoint()
-    whole = [F.col("lo"), (F.col("lo") + F.col("n") + (length - 1)).alias("hi")]
+    whole = [F.col("lo"), (F.col("lo") + starts + (length - 1)).alias("hi")]
     plain = hits.where("not mixed").select("tkey", "tlen", *whole)
 
     mixed = hits.where("mixed")
-    spans = mixed.groupBy("anchor", "span").agg(F.count("*").alias("w"), F.min(F.struct("tkey", "tlen", "lo", "n")).alias("r")).select("anchor", "span", F.least("w", F.lit(2)).alias("w"), "r.*").checkpoint()
+    spans = mixed.groupBy("anchor", "span").agg(F.count("*").alias("w"), F.min(F.struct("tkey", "tlen", "lo", "shape")).alias("r")).select("anchor", "span", F.least("w", F.lit(2)).alias("w"), "r.*").checkpoint()
     twice = mixed.join(spans.where("w >= 2").select("anchor", "span"), ["anchor", "span"]).select("tkey", "tlen", *whole)
 
-    weight = spans.groupBy("anchor").agg(F.sum(F.col("n") + (length - 1)).alias("bytes"))
+    weight = spans.groupBy("anchor").agg(F.sum(starts + (length - 1)).alias("bytes"))
     total = weight.agg(F.sum("bytes"), F.max("bytes")).first()
     groups = max(1, -(-(total[0] or 0) // TARGET_BYTES))
     sized = spans.join(weight, "anchor").withColumn("g", F.when(F.col("bytes") <= GROUP_BYTES, F.pmod(F.xxhash64("anchor"), F.lit(groups))))
-    asked = sized.groupBy("tkey", "tlen").agg(F.collect_list(F.struct("lo", "n", "w", "g")).alias("asked"))
+    asked = sized.groupBy("tkey", "tlen").agg(F.collect_list(F.struct("lo", "shape", "w", "g", "anchor")).alias("asked"))
     pieces = _cut_pieces(texts.join(asked, ["tkey", "tlen"]).select("tkey", "tlen", "t", "asked"), length)
     out = plain.unionByName(twice).unionByName(_merged("g", pieces.where("g is not null"), length))
     if (total[1] or 0) > GROUP_BYTES:
@@ -378,23 +405,23 @@ def repeated_ranges(texts: DataFrame, length: int) -> DataFrame:
 
 
 def _cut_pieces(rows: DataFrame, length: int) -> DataFrame:
-    """(g, tkey, tlen, lo, w, piece) from texts with the pieces asked of them."""
+    """(g, tkey, tlen, lo, w, anchor, place, piece) from texts with the pieces asked of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
-        for x in batches:
+        for x in slices(batches):
             out = []
             for key, size, text, asked in zip(*(c.to_pylist() for c in x.columns), strict=True):
                 if (key, size) == last:  # a copy of the text before
                     continue
                 last = (key, size)
                 raw = text.encode()
-                out += [(a["g"], key, size, a["lo"], a["w"], raw[a["lo"] : a["lo"] + a["n"] + length - 1]) for a in asked]
+                out += [(a["g"], key, size, a["lo"], a["w"], a["anchor"], a["shape"] >> 16, raw[a["lo"] : a["lo"] + (a["shape"] & 0xFFFF) + length - 1]) for a in asked]
             if out:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["g", "tkey", "tlen", "lo", "w", "piece"])
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["g", "tkey", "tlen", "lo", "w", "anchor", "place", "piece"])
 
-    return rows.mapInArrow(run, "g long, tkey long, tlen int, lo long, w long, piece binary")
+    return rows.mapInArrow(run, "g long, tkey long, tlen int, lo long, w long, anchor long, place int, piece binary")
 
 
 def _join_ranges(ranges: list[dict] | None) -> list[tuple[int, int]]:
@@ -425,7 +452,7 @@ def removal_digests(df: DataFrame, id_col: str, text_col: str, length: int = 400
     ranges = repeated_ranges(texts, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
+        for x in slices(batches):
             size, gone, many, sha = [], [], [], []
             for text, asked in zip(x.column(1).to_pylist(), x.column(2).to_pylist(), strict=True):
                 raw, spans = text.encode(), _join_ranges(asked)
@@ -448,7 +475,7 @@ def without_repeats(df: DataFrame, text_col: str, length: int = 400) -> DataFram
     ranges = repeated_ranges(texts.select("t", "tkey", "tlen"), length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
+        for x in slices(batches):
             row, out = x.column(0), []
             was = pc.struct_field(row, text_col).to_pylist()
             for old, asked in zip(was, x.column(1).to_pylist(), strict=True):

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes that one vectorised step handles. A text longer than this is a step of its own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -41,3 +41,10 @@ def steps(offsets: np.ndarray, most: int = STEP_BYTES) -> Iterator[tuple[int, in
         b = min(max(b, a + 1), n)
         yield a, b
         a = b
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows, for work that makes Python objects of them."""
+    for x in batches:
+        for a in range(0, x.num_rows, rows):
+            yield x.slice(a, rows)
