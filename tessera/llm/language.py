@@ -16,11 +16,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ngrams import counts, letters, top
+from .textbytes import slices
 
 #: N-grams of a profile, and of a text's ranking.
 PROFILE = 400
 #: Codes that a training task holds for one language before it hands them on.
-HELD = 2_000_000
+HELD = 500_000
+#: Texts that are predicted at once; bounds a task's memory.
+STEP_ROWS = 256
 
 UNKNOWN = "und"
 
@@ -114,7 +117,7 @@ def with_language(df: DataFrame, text_col: str, ranked: dict[str, np.ndarray], s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.value
-        for x in batches:
+        for x in slices(batches, STEP_ROWS):
             found = [table.predict(t) for t in x.column(text_col).cast(pa.string()).to_pylist()]
             new = [pa.array([k for k, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*x.columns, *new], names=[*x.schema.names, "lang_pred", "score"])

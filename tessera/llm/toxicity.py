@@ -16,8 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textbytes import slices
+
 #: Labelled rows that the fit takes at most: those of smallest hash of id and text.
-FIT_ROWS = 8_000
+FIT_ROWS = 5_000
 #: Texts of the fit that a feature must be in to get a weight.
 LEAST_TEXTS = 5
 #: Chi-square of feature and category that a feature needs: few of FEATURES reach it by chance.
@@ -28,7 +30,9 @@ FEATURES = 1 << 18
 FOLDS = 4
 
 _WORD = re.compile(r"[^\W\d_]+|[^\w\s]{2,}")
-_TABLE_WORDS = 300_000
+_TABLE_WORDS = 150_000
+#: Texts that are predicted at once; bounds a task's memory.
+STEP_ROWS = 256
 
 
 class Hasher:
@@ -204,7 +208,7 @@ def with_toxicity(df: DataFrame, text_col: str, chain: Chain, target: str) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted, hashed = model.value, Hasher()
-        for x in batches:
+        for x in slices(batches, STEP_ROWS):
             rows = [hashed(t) for t in x.column(text_col).cast(pa.string()).to_pylist()]
             p = fitted.predict(rows)
             words = np.array([len(r) > 0 for r in rows], bool)
