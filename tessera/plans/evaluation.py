@@ -158,8 +158,8 @@ def _case(w: str) -> str:
     return f"case when {c} and {o} then case when not control and {_first(w, 'cur')} < {_first(w, 'old')} then 'current' else 'hedged' end when {c} then 'current' when {o} then 'stale' else 'missing' end"
 
 
-_STATES = f"""{_PAIRS}, tok as (select item_id, doc_id, doc_id % 5 = 0 as control, {_TOK.format(x='fact')}[1:2] as cur, {_TOK.format(x='answer')}[2:3] as old, {_state_sql('answer')} as wa, {_state_sql("'so ' || fact")} as wb from pairs),
-states as (select item_id, doc_id, control, {_case('wb')} as before, {_case('wa')} as after from tok)"""
+_STATES = f"""{_PAIRS}, tok as materialized (select item_id, doc_id, doc_id % 5 = 0 as control, {_TOK.format(x='fact')}[1:2] as cur, {_TOK.format(x='answer')}[2:3] as old, {_state_sql('answer')} as wa, {_state_sql("'so ' || fact")} as wb from pairs),
+states as materialized (select item_id, doc_id, control, {_case('wb')} as before, {_case('wa')} as after from tok)"""
 
 
 @R.query(f"with {_STATES} select * from states")

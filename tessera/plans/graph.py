@@ -68,11 +68,11 @@ def _mentions(spark: SparkSession, at: str) -> DataFrame:
     return x.select(
         F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("id"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_shipdate").cast("string")).otherwise("").alias("name"), F.lit("part").alias("type"),
         F.when(F.col("l_returnflag") == "R", F.col("l_linestatus")).otherwise("").alias("description"), F.array(F.concat(F.lit("o"), F.col("l_orderkey").cast("string"))).alias("source_chunks"), F.lit(0).alias("degree"),
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"),
+        F.struct("l_orderkey", "l_linenumber", "l_shipdate", "l_extendedprice").alias("seq"),
     )
 
 
-@R.query("with m as (select 'p' || l_partkey as id, case when l_linenumber % 2 = 0 then strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') else '' end as name, case when l_returnflag = 'R' then l_linestatus else '' end as description, 'o' || l_orderkey as chunk, l_orderkey * 10 + l_linenumber as seq from lineitem) select id, coalesce(arg_max(name, seq) filter (where name <> ''), '') as name, coalesce(arg_max(description, seq) filter (where description <> ''), '') as description, count(distinct chunk) as chunks, arg_min(chunk, seq) as first from m group by id")
+@R.query("with m as (select 'p' || l_partkey as id, case when l_linenumber % 2 = 0 then strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') else '' end as name, case when l_returnflag = 'R' then l_linestatus else '' end as description, 'o' || l_orderkey as chunk, (l_orderkey, l_linenumber, l_shipdate, l_extendedprice) as seq from lineitem) select id, coalesce(arg_max(name, seq) filter (where name <> ''), '') as name, coalesce(arg_max(description, seq) filter (where description <> ''), '') as description, count(distinct chunk) as chunks, arg_min(chunk, seq) as first from m group by id")
 def entity_merge(spark: SparkSession, at: str) -> DataFrame:
     x = G.merge_entities(_mentions(spark, at))
     return x.select("id", "name", "description", F.size("source_chunks").cast("long").alias("chunks"), F.get("source_chunks", F.lit(0)).alias("first"))
