@@ -384,7 +384,9 @@ def repeated_ranges(texts: DataFrame, length: int) -> DataFrame:
     starts = F.col("shape").bitwiseAND(F.lit(0xFFFF))
     runs = _runs(texts, length).checkpoint()
     classes = runs.groupBy("anchor").agg(F.count("*").alias("met"), F.min("span").alias("s0"), F.max("span").alias("s1")).where("met >= 2")
-    hits = runs.join(classes.select("anchor", (F.col("s0") != F.col("s1")).alias("mixed")), "anchor").checkpoint()
+    # Written, so that the join below reads two plain shuffles, of which Spark may split a hot anchor's.
+    classes = classes.select("anchor", (F.col("s0") != F.col("s1")).alias("mixed")).checkpoint()
+    hits = runs.join(classes, "anchor").checkpoint()
     whole = [F.col("lo"), (F.col("lo") + starts + (length - 1)).alias("hi")]
     plain = hits.where("not mixed").select("tkey", "tlen", *whole)
 
