@@ -34,11 +34,11 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def steps(offsets: np.ndarray, most: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges [a, b) of about `most` bytes, each with one row at least."""
+    """Row ranges [a, b) of about `most` bytes and 2^20 rows at most, each with one row at least."""
     n, a = len(offsets) - 1, 0
     while a < n:
         b = int(np.searchsorted(offsets, offsets[a] + most, "right")) - 1
-        b = min(max(b, a + 1), n)
+        b = min(max(b, a + 1), n, a + (1 << 20))
         yield a, b
         a = b
 
