@@ -36,7 +36,7 @@ def cheapest(length: int, sizes: Sequence[int], fill: float, cost: int = BIN_COS
         held = length + (int((s - length) // fill) * fill if fill > 0 else 0)
         # The bin shrinks to its contents in the end.
         shrunk = sizes[bisect_left(sizes, held)]
-        rate = ((shrunk + cost) / held, -s)
+        rate = ((shrunk + cost) / max(held, 1), -s)
         if best is None or rate < best[0]:
             best = (rate, s)
     if best is None:

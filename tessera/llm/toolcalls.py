@@ -76,11 +76,10 @@ def ordered(calls: DataFrame) -> DataFrame:
         place = new.drop("moved")
         if new.where("moved").isEmpty():
             break
-    own = places.withColumnRenamed("place", "own")
-    # Depth among the calls of one place: those at their own position first, then each after what it needs.
-    depth = place.join(own, ["conv_id", "call_id"]).select("conv_id", "call_id", "place", F.when(F.col("place") == F.col("own"), 0).alias("depth"))
+    # Depth among the calls of one place: those that need none of it first, then each after what it needs.
     same = edges.join(place, ["conv_id", "call_id"]).join(place.select("conv_id", F.col("call_id").alias("on"), F.col("place").alias("up")), ["conv_id", "on"]).where("place = up").select("conv_id", "call_id", "on").checkpoint()
-    depth = depth.checkpoint()
+    needy = same.select("conv_id", "call_id").distinct().withColumn("needy", F.lit(True))
+    depth = place.join(needy, ["conv_id", "call_id"], "left").select("conv_id", "call_id", "place", F.when(F.col("needy").isNull(), 0).alias("depth")).checkpoint()
     while True:
         need = same.join(depth.select("conv_id", F.col("call_id").alias("on"), F.col("depth").alias("d")), ["conv_id", "on"])
         need = need.groupBy("conv_id", "call_id").agg(F.max("d").alias("d"), (F.count("d") == F.count("*")).alias("ready"))
