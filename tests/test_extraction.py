@@ -83,3 +83,11 @@ def test_quantize_and_rows(spark):
     assert got == [brute(i, [5, 7, 2, 9]) for i in range(4)]
     plan, hits = Q.overlay(spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "c")], "row int, seq int, value string"))
     assert {r.row: r.value for r in plan.collect()} == {1: "b", 2: "c"} and [r.row for r in hits.collect()] == [1]
+
+
+def test_merges(spark):
+    from tessera.functions.bpe import merges
+
+    ranks = {("l", "o"): 0, ("lo", "w"): 1, ("e", "r"): 2}
+    got = spark.createDataFrame([("lower",), ("",), (None,)], "w string").select(merges(F.col("w"), ranks).alias("p")).collect()
+    assert [r.p for r in got] == [["low", "er"], [], None]
