@@ -95,6 +95,19 @@ def op7_term_at_a_time(spark: SparkSession, at: str) -> DataFrame:
     return top_k(rows.where("vec_id % 50 = 0"), rows, "vec_id", "v", 5).withColumnRenamed("id", "vec_id")
 
 
+OP7_SQL = """
+with usable as (
+  select vec_id, list_transform(embedding, lambda x: floor(256.0 * x::double)) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
+  from usable q join usable c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id
+)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from scored
+qualify row_number() over (partition by query_id order by score desc, vec_id) <= 5
+"""
+
+
 OP8_SIZES = [256, 512, 1024, 2048, 4096]
 
 
@@ -134,4 +147,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_tool_call_linking": OP2_SQL}
+    return {"op2_tool_call_linking": OP2_SQL, "op7_term_at_a_time": OP7_SQL}
