@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import make_importable
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -27,4 +29,4 @@ class Registry:
 
 
 def table(spark: SparkSession, at: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{at}/{name}.parquet")
+    return make_importable(spark).read.parquet(f"{at}/{name}.parquet")

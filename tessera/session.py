@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "tessera", cores: str | int = "*", memory: str = "8g") -> SparkSession:
@@ -32,3 +34,33 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         at = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tessera-checkpoints")
         sc.setCheckpointDir(at)
     return at
+
+
+def make_importable(spark: SparkSession) -> SparkSession:
+    """The session, with this package's folder on its Python workers' path; where a cluster installs it, that changes nothing."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+    return spark
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written as Parquet into the shared checkpoint folder and read again; the files go when the program ends.
+
+    For wide tables this takes much less room than a checkpoint, whose rows are not encoded.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session may have ended before; the folder's owner clears it then
+        pass
