@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.llm import ann, language, packing, pieces, repeats, sharding, similar, simhash, topk, toxicity
-from tessera.llm.components import components
+from tessera.operators.components import components
 from tessera.llm.textbytes import text_buffer
 from tessera.llm.xxh64 import xxh64_ranges
 
