@@ -86,7 +86,7 @@ def fuse(
     prior = authority_bonus(F.col("file_path"), bonuses or {})
     if feedback is not None and feedback_weight:
         x = x.join(feedback, x.ref_doc_id == feedback.doc, "left")
-        prior = prior + F.lit(feedback_weight) * F.signum(F.coalesce("feedback", F.lit(0)))
+        prior = prior + F.lit(feedback_weight) * F.coalesce("feedback", F.lit(0))
     x = x.withColumn("score", (F.col("score") + prior) * superseded_penalty(F.col("superseded_by")))
     if strict:
         x = drop_superseded(x)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import dot
 from ..models import Chat, Embedder, Reranker, asked, embedded, reranked
 from . import dense, fusion, graph, lexical
-from .filters import Filter
+from .filters import Filter, filter_expr
 
 K, CANDIDATES, ROUNDS, DRIFT_COMMUNITIES, DRIFT_SEEDS = 10, 20, 3, 3, 30
 
@@ -39,19 +39,24 @@ class Engine:
     def _q(self, query: str) -> DataFrame:
         return self.chunks.sparkSession.createDataFrame([(0, query)], "query_id int, query string")
 
-    def lists(self, query: str, spec: Filter | None = None, extra: DataFrame | None = None, ablation: bool = False) -> DataFrame:
-        """Rank lists (list, rank, id) of the legs: lexical, and unless ablated dense, graph and communities."""
+    def lists(self, query: str, spec: Filter | None = None, extra: DataFrame | None = None, ablation: bool = False, candidates: int = CANDIDATES) -> DataFrame:
+        """Rank lists (list, rank, id) of the legs: lexical, and unless ablated dense, graph and communities.
+
+        The filter holds before the dense and the graph leg's limits; the lexical leg is filtered after fusion.
+        """
         active = self.chunks.where(F.col("valid_to").isNull())
-        out = lexical.bm25(active, self._q(query), CANDIDATES).select(F.lit("lexical").alias("list"), "rank", "id")
+        out = lexical.bm25(active, self._q(query), candidates).select(F.lit("lexical").alias("list"), "rank", "id")
         if ablation:
             return out
         q = self.chunks.sparkSession.createDataFrame([(0, self._vector(query))], "query_id int, vector array<double>")
-        out = out.union(dense.dense(active, q, CANDIDATES, spec).select(F.lit("dense"), "rank", "id"))
+        out = out.union(dense.dense(active, q, candidates, spec).select(F.lit("dense"), "rank", "id"))
         if self.entities is not None and self.relations is not None:
             linked = graph.link_entities(self._q(query), self.entities).select("id")
-            near = graph.neighbour_scores(self.relations, linked).orderBy(F.desc("score"), F.asc("id")).limit(graph.TOP_NEIGHBOURS)
+            near = graph.neighbour_scores(self.relations, linked).join(linked, "id", "left_anti").orderBy(F.desc("score"), F.asc("id")).limit(graph.TOP_NEIGHBOURS)
             cited = near.join(self.entities.select("id", F.posexplode("source_chunks").alias("pos", "chunk")), "id")
-            first = cited.groupBy("chunk").agg(F.max(F.struct("score", -F.col("pos"))).alias("at")).orderBy(F.desc("at"), "chunk").limit(CANDIDATES)
+            allowed = active.where(filter_expr(spec)) if spec is not None else active
+            cited = cited.join(allowed.select(F.col("id").alias("chunk")), "chunk", "left_semi")
+            first = cited.groupBy("chunk").agg(F.max(F.struct("score", -F.col("pos"))).alias("at")).orderBy(F.desc("at"), "chunk").limit(candidates)
             out = out.union(first.select(F.lit("graph"), F.row_number().over(Window.orderBy(F.desc("at"), "chunk")), F.col("chunk")))
             if self.communities is not None:
                 best = graph.communities_for(self.communities, linked).join(self.communities.where("trim(summary) <> ''").select("id"), "id").orderBy(F.desc("hits"), "id").limit(graph.TOP_COMMUNITIES)
@@ -66,9 +71,9 @@ class Engine:
         c = self.communities.select(name.alias("id"), name.alias("ref_doc_id"), F.lit(0).alias("chunk_index"), F.col("summary").alias("text"), F.lit("graph").alias("source"), F.concat(F.lit("graph/communities/"), "id").alias("file_path"))
         return self.chunks.unionByName(c, allowMissingColumns=True)
 
-    def _fused(self, query: str, lists: DataFrame, k: int, spec: Filter | None) -> DataFrame:
+    def _fused(self, query: str, lists: DataFrame, k: int, spec: Filter | None, cap: int = fusion.PER_DOCUMENT) -> DataFrame:
         order = (lambda x: reranked(x, query, self.reranker)) if self.reranker is not None else None
-        out = fusion.fuse(lists, self._with_communities(), k, spec=spec, bonuses=self.bonuses, rerank=order)
+        out = fusion.fuse(lists, self._with_communities(), k, cap=cap, spec=spec, bonuses=self.bonuses, rerank=order)
         if not self.budget:
             return out.select("rank", "id", "ref_doc_id", "text", "score")
         more = fusion.expand_documents(out, self.chunks, self.budget, k)
@@ -104,23 +109,26 @@ class Engine:
         parts = asked(prompts, self.chat, "Answer from this summary, or say nothing.").where("trim(reply) <> ''").orderBy("id").collect()
         return self.chat.chat("Combine the partial answers.", "\n\n".join(r.reply for r in parts)) if parts else None
 
-    def by_set(self, query: str, variants: list[str], spec: Filter | None = None) -> tuple[DataFrame, bool]:
+    def by_set(self, query: str, variants: list[str], spec: Filter | None = None, budget: int | None = None) -> tuple[DataFrame, bool]:
         """Set mode: the best chunk of each document over the question and its variants, and whether nothing more came.
 
-        Rounds go on until one adds no document or variants end, three at most.
+        Rounds go on until one adds no document or the variants end, three at most. Each looks at `budget`
+        candidates a leg, all chunks by default, and makes no cap by document. Summaries are no documents.
         """
-        budget = max(4 * CANDIDATES, 1)
+        n = max(4 * CANDIDATES, self.chunks.count()) if budget is None else budget
         best, known, saturated = None, 0, False
-        for q in [query, *variants][:ROUNDS]:
-            got = self.local(q, budget, spec)
-            both = got if best is None else best.unionByName(got)
-            best = set_union(both).checkpoint()
-            n = best.count()
-            if n == known:
+        for k in range(ROUNDS):
+            if k > len(variants) or not (q := [query, *variants][k].strip()):
+                saturated = True
+                break
+            got = self._fused(q, self.lists(q, spec, candidates=n), n, spec, cap=n).where(~F.col("ref_doc_id").startswith("community:"))
+            best = set_union(got if best is None else best.unionByName(got)).checkpoint()
+            found = best.count()
+            if found == known:
                 saturated = True
                 break
-            known = n
-        return best, saturated or len(variants) + 1 <= ROUNDS
+            known = found
+        return best, saturated
 
 
 def set_union(rows: DataFrame) -> DataFrame:
