@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, stored
 from .textbytes import STEP_BYTES, slices, steps, text_buffer
 
 #: Bytes of pieces in a shard that gets a transform of its own, and in a group whose shards are merged.
@@ -382,7 +382,7 @@ def repeated_ranges(texts: DataFrame, length: int) -> DataFrame:
         raise ValueError("length is 1 to 32767 bytes")
     ensure_checkpoint_dir(texts.sparkSession)
     starts = F.col("shape").bitwiseAND(F.lit(0xFFFF))
-    runs = _runs(texts, length).checkpoint()
+    runs = stored(_runs(texts, length))
     classes = runs.groupBy("anchor").agg(F.count("*").alias("met"), F.min("span").alias("s0"), F.max("span").alias("s1")).where("met >= 2")
     # Written, so that the join below reads two plain shuffles, of which Spark may split a hot anchor's.
     classes = classes.select("anchor", (F.col("s0") != F.col("s1")).alias("mixed")).checkpoint()
