@@ -383,24 +383,20 @@ def repeated_ranges(texts: DataFrame, length: int) -> DataFrame:
     ensure_checkpoint_dir(texts.sparkSession)
     starts = F.col("shape").bitwiseAND(F.lit(0xFFFF))
     runs = stored(_runs(texts, length))
-    classes = runs.groupBy("anchor").agg(F.count("*").alias("met"), F.min("span").alias("s0"), F.max("span").alias("s1")).where("met >= 2")
     # Written, so that the join below reads two plain shuffles, of which Spark may split a hot anchor's.
-    classes = classes.select("anchor", (F.col("s0") != F.col("s1")).alias("mixed")).checkpoint()
+    classes = runs.groupBy("anchor").count().where("count >= 2").select("anchor").checkpoint()
     hits = runs.join(classes, "anchor").checkpoint()
-    whole = [F.col("lo"), (F.col("lo") + starts + (length - 1)).alias("hi")]
-    plain = hits.where("not mixed").select("tkey", "tlen", *whole)
+    spans = hits.groupBy("anchor", "span").agg(F.least(F.count("*"), F.lit(2)).alias("w"), F.min(F.struct("tkey", "tlen", "lo", "shape")).alias("r")).select("anchor", "span", "w", "r.*").checkpoint()
+    twice = hits.join(spans.where("w >= 2").select("anchor", "span"), ["anchor", "span"])
+    whole = twice.select("tkey", "tlen", "lo", (F.col("lo") + starts + (length - 1)).alias("hi"))
 
-    mixed = hits.where("mixed")
-    spans = mixed.groupBy("anchor", "span").agg(F.count("*").alias("w"), F.min(F.struct("tkey", "tlen", "lo", "shape")).alias("r")).select("anchor", "span", F.least("w", F.lit(2)).alias("w"), "r.*").checkpoint()
-    twice = mixed.join(spans.where("w >= 2").select("anchor", "span"), ["anchor", "span"]).select("tkey", "tlen", *whole)
-
-    weight = spans.groupBy("anchor").agg(F.sum(starts + (length - 1)).alias("bytes"))
+    weight = spans.groupBy("anchor").agg(F.sum(starts + (length - 1)).alias("bytes"), F.count("*").alias("n")).where("n > 1").drop("n")
     total = weight.agg(F.sum("bytes"), F.max("bytes")).first()
     groups = max(1, -(-(total[0] or 0) // TARGET_BYTES))
     sized = spans.join(weight, "anchor").withColumn("g", F.when(F.col("bytes") <= GROUP_BYTES, F.pmod(F.xxhash64("anchor"), F.lit(groups))))
     asked = sized.groupBy("tkey", "tlen").agg(F.collect_list(F.struct("lo", "shape", "w", "g", "anchor")).alias("asked"))
     pieces = _cut_pieces(texts.join(asked, ["tkey", "tlen"]).select("tkey", "tlen", "t", "asked"), length)
-    out = plain.unionByName(twice).unionByName(_merged("g", pieces.where("g is not null"), length))
+    out = whole.unionByName(_merged("g", pieces.where("g is not null"), length))
     if (total[1] or 0) > GROUP_BYTES:
         out = out.unionByName(_counted(pieces.where("g is null"), length))
     return out.groupBy("tkey", "tlen").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
