@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,26 +49,27 @@ def cleanup_plan(docs: DataFrame, rewrite_sources: list[str], exclude: list[str]
     return trash.union(empty).union(merged).union(compress)
 
 
-def _fnv(feature: bytes) -> int:
-    h = 14695981039346656037
-    for b in feature:
-        h = ((h ^ b) * 1099511628211) & 0xFFFFFFFFFFFFFFFF
-    return h
-
-
 def simhash_of(text: str) -> tuple[int, int]:
-    """(fingerprint as a signed 64-bit number, words): FNV-1a over three-word shingles, fewer words being one."""
-    import re
-
-    words = re.findall(r"[^\W_]+", text.lower())
-    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) >= 3 else [" ".join(words)] * bool(words)
-    bits = [0] * 64
-    for s in shingles:
-        h = _fnv(s.encode())
-        for k in range(64):
-            bits[k] += 1 if h >> k & 1 else -1
-    value = sum(1 << k for k in range(64) if bits[k] > 0)
-    return value - (1 << 64) if value >> 63 else value, len(words)
+    """(fingerprint as a signed 64-bit number, words): FNV-1a over three-word shingles, fewer words being one.
+
+    All shingles of a text are hashed together, a byte a step.
+    """
+    words = [w.encode() for w in re.findall(r"[^\W_]+", text.lower())]
+    if not words:
+        return 0, 0
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = ends - [len(w) for w in words]
+    n = min(len(words), 3)
+    starts, size = starts[: len(words) - n + 1], ends[n - 1 :] - starts[: len(words) - n + 1]
+    # Fixed values of FNV-1a: its offset and prime.
+    h = np.full(len(starts), 14695981039346656037, np.uint64)
+    live = np.arange(len(starts))
+    for k in range(int(size.max())):
+        live = live[size[live] > k]
+        h[live] = (h[live] ^ data[starts[live] + k]) * np.uint64(1099511628211)
+    ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.int64)[0]), len(words)
 
 
 def simhash(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -91,7 +91,7 @@ def minmax_norm(spark: SparkSession, at: str) -> DataFrame:
     return _rounded(U.minmax(U.rrf(_lists(spark, at))))
 
 
-_BONUS = "case when file_path like 'src1/%' then 0.3 when file_path like 'src1%' then 0.2 when file_path like 'src%' then 0.1 else 0.0 end"
+_BONUS = "cast(case when file_path like 'src1/%' then 0.3 when file_path like 'src1%' then 0.2 when file_path like 'src%' then 0.1 else 0.0 end as double)"
 _SCORED = f"scored2 as (select c.*, (n.score + {_BONUS}) * case when superseded_by is not null then 0.9 else 1.0 end as score from norm n join chunks c using (id))"
 BONUSES = {"src": 0.1, "src1": 0.2, "src1/": 0.3}
 
@@ -109,7 +109,7 @@ def authority_prior(spark: SparkSession, at: str) -> DataFrame:
     return chunks(spark, at).select("id", U.authority_bonus(F.col("file_path"), BONUSES).alias("bonus"))
 
 
-@R.query(f"with {CHUNKS} select source, count(*) as n, round(sum(case when superseded_by is not null then 0.9 else 1.0 end), 6) as weight from chunks group by source")
+@R.query(f"with {CHUNKS} select source, count(*) as n, round(sum(cast(case when superseded_by is not null then 0.9 else 1.0 end as double)), 6) as weight from chunks group by source")
 def superseded_penalty(spark: SparkSession, at: str) -> DataFrame:
     x = chunks(spark, at).withColumn("p", U.superseded_penalty(F.col("superseded_by").cast("string")))
     return x.groupBy("source").agg(F.count("*").alias("n"), F.round(F.sum("p"), 6).alias("weight"))

@@ -99,6 +99,24 @@ def test_sentence_packing(spark):
         assert got == {i: loop(t, size, overlap) for i, t in enumerate(texts)}
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.text(alphabet="ab é1_. ", max_size=60))
+def test_simhash_is_fnv_over_shingles(text):
+    import re
+
+    words = re.findall(r"[^\W_]+", text.lower())
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) >= 3 else [" ".join(words)] * bool(words)
+    bits = [0] * 64
+    for s in shingles:
+        h = 14695981039346656037
+        for b in s.encode():
+            h = ((h ^ b) * 1099511628211) % 2**64
+        for k in range(64):
+            bits[k] += 1 if h >> k & 1 else -1
+    value = sum(1 << k for k in range(64) if bits[k] > 0)
+    assert dedup.simhash_of(text) == (value - 2**64 if value >> 63 else value, len(words))
+
+
 def test_duplicates(spark):
     prints = spark.createDataFrame([(1, "s", 0), (2, "s", 7), (3, "s", 63), (4, "t", 0), (5, "s", 0)], "id long, source string, fp long")
     for most in (3, 12):
