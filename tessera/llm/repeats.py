@@ -206,30 +206,35 @@ def merge(shards: list[Transform], rounds: int) -> tuple[np.ndarray, np.ndarray,
     n = sum(len(s.start) for s in shards)
     if not n:
         return (np.zeros(0, np.int64),) * 3
-    symbol = np.unique(np.concatenate([s.symbol for s in shards]), return_inverse=True)[1].astype(np.int64) << 32
+    # Places and numbers are kept in 32 bits; a group is far below 2^31 entries.
+    symbol = np.unique(np.concatenate([s.symbol for s in shards]), return_inverse=True)[1].astype(np.int32)
     base = np.cumsum([0, *(len(s.start) for s in shards)])
-    ahead = np.concatenate([np.where(s.next >= 0, s.next + b, -1) for s, b in zip(shards, base, strict=False)])
-    place, block_of = np.arange(n), np.zeros(n, np.int64)
-    common = np.zeros(n, np.int64)
-    order = np.arange(n)
+    ahead = np.concatenate([np.where(s.next >= 0, s.next + b, -1).astype(np.int32) for s, b in zip(shards, base, strict=False)])
+    place, block_of = np.arange(n, dtype=np.int32), np.zeros(n, np.int32)
+
+    def keys(of_next: np.ndarray) -> np.ndarray:
+        """First symbols, each with a number of the successor, from 1, or 0 without one."""
+        key = symbol.astype(np.int64) << 32
+        key |= np.where(ahead >= 0, of_next[ahead] + 1, 0)
+        return key
+
     for done in range(rounds):
         # Each shard's part is in order already: a stable merge of sorted runs.
-        order = np.argsort(symbol | np.where(ahead >= 0, place[ahead] + 1, 0), kind="stable")
-        prefix = (symbol | np.where(ahead >= 0, block_of[ahead] + 1, 0) if done else symbol)[order]
-        same = np.r_[False, prefix[1:] == prefix[:-1]]
-        block = np.cumsum(~same) - 1
-        place[order] = np.arange(n)
-        block_of[order] = block
-    # What two neighbours share: the last round whose prefixes agree, counted along the successors.
-    deep = np.arange(n)
-    left, right = np.r_[-1, order[:-1]], order
-    live = np.arange(n) > 0
+        order = np.argsort(keys(place), kind="stable").astype(np.int32)
+        prefix = (keys(block_of) if done else symbol)[order]
+        same = prefix[1:] == prefix[:-1]
+        del prefix
+        place[order] = np.arange(n, dtype=np.int32)
+        block_of[order] = np.cumsum(np.r_[True, ~same], dtype=np.int32) - 1
+    # What two neighbours share, counted along the successors while symbols agree.
+    common = np.zeros(n, np.int32)
+    live, left, right = np.arange(1, n, dtype=np.int32), order[:-1], order[1:]
     for _ in range(rounds):
-        a, b = np.where(live, left, 0), np.where(live, right, 0)
-        live &= symbol[a] == symbol[b]
-        common[deep[live]] += 1
-        left, right = np.where(live, ahead[a], -1), np.where(live, ahead[b], -1)
-        live &= (left >= 0) & (right >= 0)
+        agree = symbol[left] == symbol[right]
+        live, left, right = live[agree], ahead[left[agree]], ahead[right[agree]]
+        common[live] += 1
+        on = (left >= 0) & (right >= 0)
+        live, left, right = live[on], left[on], right[on]
     return order, block_of[order], common
 
 
