@@ -1,9 +1,16 @@
-"""Near-duplicates by similarity of word shingles, found through SimHash postings and verified exactly.
+"""Near-duplicates by similarity of word shingles, found through two indexes and verified exactly.
 
-A fingerprint of one kind finds two texts only if it differs in three bits or fewer, which texts of
-similarity 0.8 often exceed. So each text has SEEDS fingerprints over its distinct words, one for each
-seed; a pair is a candidate if any of them passes the byte-position index with count filtering, and is
-a link if its shingle sets have the wanted Jaccard similarity.
+The first index finds most links cheaply and joins large groups. Each text has SEEDS fingerprints over its
+distinct words; a pair is a candidate if any of them passes the byte-position index with count filtering.
+It is not complete: a large posting meets its pivots only, and a fingerprint of three differing bits misses
+pairs that are similar enough.
+
+The second index is complete. Under one order of all shingles, two sets of Jaccard similarity t or more
+share a shingle among the first n - ceil(t n) + 1 of each. Texts meet under those; every pair that is not
+in one group yet and whose sizes and places allow the similarity is a candidate. The order puts
+shingles that are frequent in a sample last, which keeps postings short; any order gives the same links.
+
+A candidate of either index is a link if its shingle sets have the wanted Jaccard similarity.
 """
 
 from __future__ import annotations
@@ -27,6 +34,10 @@ MOST_BITS, LEAST_BYTES = 3, 5
 #: A posting of more texts compares each with PIVOTS of them, not all pairs: those with most near neighbours
 #: in it, and those with the smallest nodes, who are the same in many postings.
 ALL_PAIRS, PIVOTS = 16, 6
+#: One text of SAMPLE is counted for the order of shingles; those met in SEEN of them or more, FREQUENT at most, go last.
+SAMPLE, SEEN, FREQUENT = 16, 3, 200_000
+#: Runs of a shingle with up to so many texts are met by shifted comparison, all at once.
+SHORT_RUN = 32
 
 _SEEDS = [np.uint64((0x9E3779B97F4A7C15 * s) & (2**64 - 1)) for s in range(1, SEEDS + 1)]
 
@@ -164,28 +175,115 @@ def candidate_pairs(prints: DataFrame) -> DataFrame:
     return rows.repartition(n, "k").sortWithinPartitions("k").mapInArrow(run, "a long, b long").distinct()
 
 
-def similar_groups(df: DataFrame, text_col: str, words: int = 5, least: float = 0.8) -> DataFrame:
-    """(node, root) of texts that have links; a text's node is xxhash64 of it, null as empty.
+def shingle_order(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, counts) that are frequent in a sample of texts (node, t), by shingle; they only order."""
 
-    Links are pairs of different texts whose sets of `words`-word shingles (the whole sequence of a
-    shorter text) have Jaccard similarity `least` or more. Wordless texts link to nothing but their equals.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    texts = df.select(F.xxhash64(text).alias("node"), text.alias("t"))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            k, n = np.unique(np.concatenate([np.zeros(0, np.uint32), *shingle_sets(*text_buffer(x.column(1)), words)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(n)], names=["k", "n"])
+
+    some = texts.where(F.pmod("node", F.lit(SAMPLE)) == 0).mapInArrow(count, "k long, n long")
+    rows = some.groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") >= SEEN).orderBy(F.desc("n"), "k").limit(FREQUENT).collect()
+    k, n = np.array([r.k for r in rows], np.uint32), np.array([r.n for r in rows], np.int64)
+    by = np.argsort(k)
+    return k[by], n[by]
+
+
+def _first(s: np.ndarray, order: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
+    """The shingles of a sorted set, first in the order, of which a similar set holds one."""
+    k, n = order
+    m = len(s) - int(np.ceil(least * len(s) - 1e-9)) + 1
+    if not len(k):
+        return s[:m]
+    at = np.minimum(np.searchsorted(k, s), len(k) - 1)
+    return s[np.argsort(np.where(k[at] == s, n[at], 0), kind="stable")[:m]]
+
+
+def _may_be_alike(size: np.ndarray, rest: np.ndarray, root: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
+    """Whether sets i and j, not in one group, can be similar if the shingle they meet under is the first that they share."""
+    a, b = size[i], size[j]
+    return (root[i] != root[j]) & (np.minimum(a, b) >= least * np.maximum(a, b) - 1e-9) & (np.minimum(rest[i], rest[j]) * (1 + least) >= least * (a + b) - 1e-9)
+
+
+def _pairs_of_shingles(k: np.ndarray, size: np.ndarray, rest: np.ndarray, root: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs that meet in a run of equal k and may be similar; long runs are met block against block."""
+    head = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+    count = np.diff(np.r_[head, len(k)])
+    length = np.repeat(count, count)
+    left = length - (np.arange(len(k)) - np.repeat(head, count))
+    at = np.flatnonzero((length <= SHORT_RUN) & (left > 1))
+    shift = 1
+    while len(at):
+        ok = _may_be_alike(size, rest, root, at, at + shift, least)
+        yield at[ok], at[ok] + shift
+        shift += 1
+        at = at[left[at] > shift]
+    for h, m in zip(head[count > SHORT_RUN].tolist(), count[count > SHORT_RUN].tolist(), strict=True):
+        if (root[h : h + m] == root[h]).all():
+            continue
+        run = h + np.argsort(size[h : h + m], kind="stable")
+        for a in range(0, m, BLOCK // 2):
+            for b in range(a, m, BLOCK // 2):
+                u, v = run[a : a + BLOCK // 2], run[b : b + BLOCK // 2]
+                if size[u[-1]] < least * size[v[0]] - 1e-9:
+                    break
+                near = _may_be_alike(size, rest, root, u[:, None], v[None, :], least)
+                i, j = np.nonzero(np.triu(near, 1) if a == b else near)
+                yield u[i], v[j]
+
+
+def complete_pairs(texts: DataFrame, groups: DataFrame, words: int, least: float) -> DataFrame:
+    """(a, b): every pair of texts (node, t) of similarity `least` or more that groups (node, root) do not join, and others."""
+    order = shingle_order(texts, words)
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            sets = shingle_sets(*text_buffer(x.column(1)), words)
+            yield pa.RecordBatch.from_arrays([x.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_first(s, order, least).tobytes() for s in sets], pa.binary())], names=["node", "size", "firsts"]).filter(pa.array([len(s) > 0 for s in sets], pa.bool_()))
 
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[int] = set()
+    one = texts.mapInArrow(firsts, "node long, size long, firsts binary").groupBy("node").agg(F.min(F.struct("size", "firsts")).alias("s"))
+    # Texts of no group have no root, which packs better than their own node.
+    rooted = one.join(groups, "node", "left").select("node", F.coalesce("root", F.lit(0)).alias("root"), "s.size", "s.firsts")
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            # Copies within a task are one node.
-            new = [not (k in met or met.add(k)) for k in x.column(0).to_pylist()]
-            x = x.filter(pa.array(new, pa.bool_()))
-            fps = word_prints(*text_buffer(x.column(1)))
-            some = fps.any(1)
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(fps[some].view(np.int64).ravel()), SEEDS).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([x.column(0).filter(pa.array(some)), lists], names=["node", "fps"])
+            k = [np.frombuffer(b, np.uint32) for b in x.column(3).to_pylist()]
+            n = np.array([len(b) for b in k], np.int64)
+            if not len(n):
+                continue
+            node, root, size = (np.repeat(x.column(i).to_numpy(), n) for i in range(3))
+            nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.concatenate(k).astype(np.int64), node, root, size, size - nth)], names=["k", "node", "root", "size", "rest"])
 
-    found = candidate_pairs(texts.mapInArrow(prints, "node long, fps array<long>").groupBy("node").agg(F.min("fps").alias("fps"))).checkpoint()
+    rows = rooted.mapInArrow(post, "k long, node long, root long, size long, rest long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold = [np.zeros(0, np.int64)] * 5
+
+        def met(k: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndarray, rest: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if not len(k):
+                return
+            for i, j in _pairs_of_shingles(k, size, rest, np.where(root == 0, node, root), least):
+                a, b = node[i], node[j]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        for x in batches:
+            now = [np.concatenate([old, x.column(i).to_numpy()]) for i, old in enumerate(hold)]
+            if not len(now[0]):
+                continue
+            last = int(np.searchsorted(now[0], now[0][-1]))
+            yield from met(*(c[:last] for c in now))
+            hold = [c[last:].copy() for c in now]
+        yield from met(*hold)
+
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "k").sortWithinPartitions("k").mapInArrow(run, "a long, b long").distinct()
+
+
+def verified(texts: DataFrame, found: DataFrame, words: int, least: float) -> DataFrame:
+    """The pairs (a, b) of texts (node, t) whose shingle sets have Jaccard similarity `least` or more."""
     asked = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +305,34 @@ def similar_groups(df: DataFrame, text_col: str, words: int = 5, least: float =
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     pairs = found.join(have.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(have.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    links = pairs.select("a", "b", "sa", "sb").mapInArrow(alike, "a long, b long").checkpoint()
+    return pairs.select("a", "b", "sa", "sb").mapInArrow(alike, "a long, b long").checkpoint()
+
+
+def similar_groups(df: DataFrame, text_col: str, words: int = 5, least: float = 0.8) -> DataFrame:
+    """(node, root) of texts that have links; a text's node is xxhash64 of it, null as empty.
+
+    Links are pairs of different texts whose sets of `words`-word shingles (the whole sequence of a
+    shorter text) have Jaccard similarity `least` or more. Wordless texts link to nothing but their equals.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    texts = df.select(F.xxhash64(text).alias("node"), text.alias("t"))
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
+        for x in batches:
+            # Copies within a task are one node.
+            new = [not (k in met or met.add(k)) for k in x.column(0).to_pylist()]
+            x = x.filter(pa.array(new, pa.bool_()))
+            fps = word_prints(*text_buffer(x.column(1)))
+            some = fps.any(1)
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(fps[some].view(np.int64).ravel()), SEEDS).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([x.column(0).filter(pa.array(some)), lists], names=["node", "fps"])
+
+    found = candidate_pairs(texts.mapInArrow(prints, "node long, fps array<long>").groupBy("node").agg(F.min("fps").alias("fps"))).checkpoint()
+    some = verified(texts, found, words, least)
+    rest = complete_pairs(texts, components(some, "a", "b"), words, least).checkpoint()
+    links = some.union(verified(texts, rest, words, least))
     return components(links, "a", "b")
 
 

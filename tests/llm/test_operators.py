@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -170,6 +171,42 @@ def test_similar_texts(spark):
     assert similar.one_of_each(empty(spark), "doc_id", "text").count() == 0
 
 
+def similar_by_hand(texts, words=5, least=0.8):
+    """The smallest place of each group of similar texts, by all pairs."""
+    sets = [{tuple(w[i : i + words]) for i in range(max(len(w) - words + 1, 1))} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+
+    def up(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in combinations(range(len(texts)), 2):
+        if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+            a, b = sorted((up(i), up(j)))
+            root[b] = a
+    return {up(i) for i in range(len(texts))}
+
+
+def kept_of(spark, texts):
+    x = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id for r in similar.one_of_each(x, "doc_id", "text").select("doc_id").collect()}
+
+
+def test_similar_texts_of_one_vocabulary(spark):
+    """All texts share every posting of their words; a near copy of each is found all the same."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(100)]
+    base = [rng.sample(words, 100) for _ in range(150)]
+    near = []
+    for w in base:
+        i = rng.randrange(10, 90)
+        near.append([*w[:i], w[i + 1], w[i], *w[i + 2 :]])
+    texts = [" ".join(w) for w in base + near]
+    assert similar_by_hand(texts) == set(range(150))
+    assert kept_of(spark, texts) == set(range(150))
+
+
 # 4 SentencePiece
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
