@@ -12,8 +12,8 @@ from tessera.session import ensure_checkpoint_dir, make_importable
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A text whose nearest profile is farther off than this score is of no learned language.
 LEAST_LANGUAGE_SCORE = 0.2
-#: Passages of over 50 words take about 280 bytes and more.
-REPEAT_BYTES = 256
+#: Repeats of so many bytes are cut, and those of over 50 words that take fewer.
+REPEAT_BYTES, REPEAT_WORDS = 256, 51
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +40,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of REPEAT_BYTES and more that occur elsewhere too; n_chars follows the text."""
+    """Documents without the passages of REPEAT_BYTES or REPEAT_WORDS and more that occur elsewhere too; n_chars follows the text."""
     make_importable(spark)
-    out = repeats.without_repeats(docs.select(COLUMNS), "text", REPEAT_BYTES)
+    out = repeats.without_repeats(docs.select(COLUMNS), "text", REPEAT_BYTES, REPEAT_WORDS)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 

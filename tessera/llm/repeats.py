@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, stored
+from .simhash import _SPACES
 from .textbytes import STEP_BYTES, slices, steps, text_buffer
 
 #: Bytes of pieces in a shard that gets a transform of its own, and in a group whose shards are merged.
@@ -375,14 +376,45 @@ def _counted(pieces: DataFrame, length: int) -> DataFrame:
     return windows.join(twice, "window").where("w < 2").select("tkey", "tlen", "lo", (F.col("lo") + length).alias("hi"))
 
 
+def _short_passages(texts: DataFrame, words: int, length: int) -> DataFrame:
+    """(tkey, tlen, lo, hi) of runs of so many words, in fewer than `length` bytes, that occur more than once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in slices(batches):
+            raw, offsets = text_buffer(x.column(0))
+            space = np.r_[_SPACES[raw], True]
+            # A word ends with its text, whatever follows.
+            edge = np.zeros(len(raw) + 1, bool)
+            edge[offsets] = True
+            start = np.flatnonzero(~space & (edge | np.r_[True, space[:-1]]))
+            end = np.flatnonzero(~space[:-1] & (space[1:] | edge[1:])) + 1
+            if len(start) < words:
+                continue
+            lo, hi = start[: len(start) - words + 1], end[words - 1 :]
+            doc = np.searchsorted(offsets, lo, "right") - 1
+            some = np.flatnonzero((hi - lo < length) & (hi <= offsets[doc + 1]))
+            lo, hi, doc = lo[some], hi[some], doc[some]
+            data = raw.tobytes()
+            wide = [hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+            at = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([pa.array(wide, pa.binary()), x.column(1).take(at), x.column(2).take(at), pa.array(lo - offsets[doc]), pa.array(hi - offsets[doc])], names=["passage", "tkey", "tlen", "lo", "hi"])
+
+    passages = texts.select("t", "tkey", "tlen").mapInArrow(run, "passage binary, tkey long, tlen int, lo long, hi long")
+    twice = passages.groupBy("passage").count().where("count >= 2").select("passage")
+    return passages.join(twice, "passage").select("tkey", "tlen", "lo", "hi")
+
+
 def keyed(df: DataFrame, text_col: str) -> DataFrame:
     """df with t (the text, null as empty), tkey and tlen, which tell distinct texts apart."""
     t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return df.withColumns({"t": t, "tkey": F.xxhash64(t), "tlen": F.octet_length(t)})
 
 
-def repeated_ranges(texts: DataFrame, length: int) -> DataFrame:
-    """(tkey, tlen, ranges array<struct<lo,hi>>) of each distinct text with repeats; texts has t, tkey, tlen."""
+def repeated_ranges(texts: DataFrame, length: int, words: int | None = None) -> DataFrame:
+    """(tkey, tlen, ranges array<struct<lo,hi>>) of each distinct text with repeats; texts has t, tkey, tlen.
+
+    Repeats are of `length` bytes and more, and of `words` words and more in any number of bytes.
+    """
     if not 1 <= length < 1 << 15:
         raise ValueError("length is 1 to 32767 bytes")
     ensure_checkpoint_dir(texts.sparkSession)
@@ -404,6 +436,8 @@ def repeated_ranges(texts: DataFrame, length: int) -> DataFrame:
     out = whole.unionByName(_merged("g", pieces.where("g is not null"), length))
     if (total[1] or 0) > GROUP_BYTES:
         out = out.unionByName(_counted(pieces.where("g is null"), length))
+    if words:
+        out = out.unionByName(_short_passages(texts, words, length))
     return out.groupBy("tkey", "tlen").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
 
 
@@ -469,13 +503,15 @@ def removal_digests(df: DataFrame, id_col: str, text_col: str, length: int = 400
     return joined.mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def without_repeats(df: DataFrame, text_col: str, length: int = 400) -> DataFrame:
+def without_repeats(df: DataFrame, text_col: str, length: int = 400, words: int | None = None) -> DataFrame:
     """df with the repeats taken out of the text column; a character cut through goes as a whole.
 
+    Repeats are of `length` bytes and more, and of `words` words and more in any number of bytes.
+
     Rows, their other columns and null texts stay as they are. A text that is all repeat becomes empty.
     """
     texts = keyed(df.select(F.struct("*").alias("row"), F.col(text_col).alias("text")), "text").select("row", "t", "tkey", "tlen")
-    ranges = repeated_ranges(texts.select("t", "tkey", "tlen"), length)
+    ranges = repeated_ranges(texts.select("t", "tkey", "tlen"), length, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in slices(batches):

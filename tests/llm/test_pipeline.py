@@ -37,6 +37,16 @@ def test_stages(staged):
     assert staged[4].where(F.col("n_chars") != F.length("text")).count() == 0
 
 
+def test_repeated_passage_of_short_words(spark):
+    """51 words of fewer than 256 bytes go from texts that differ around them; 50 words stay."""
+    short, less = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("s", 51), ("l", 50)))
+    texts = [f"before{k} {x}after{k}" for x in (short + " ", less + " ") for k in ("one", "two")] + ["a b", "a b"]
+    assert len(short) < P.REPEAT_BYTES
+    docs = spark.createDataFrame([(i, t, "en", "p", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in P.cut_repeats(spark, docs, AT).collect()}
+    assert got == {0: "beforeone  afterone", 1: "beforetwo  aftertwo", **dict(enumerate(texts[2:], 2))}
+
+
 def test_clean_documents_stay(spark):
     at = "/root/testdata/sf0.01"
     docs, y = (spark.read.parquet(f"{at}/{t}.parquet") for t in ("documents", "labels"))
