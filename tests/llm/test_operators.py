@@ -207,6 +207,20 @@ def test_similar_texts_of_one_vocabulary(spark):
     assert kept_of(spark, texts) == set(range(150))
 
 
+def test_similar_texts_with_a_block_more(spark):
+    """A block appended, put before or taken out, at similarities around 0.8 to 0.95, against all pairs."""
+    rng = random.Random(7)
+    texts = []
+    for n in (8, 16, 25, 36, 45):
+        for k in range(24):
+            base = [f"b{rng.randrange(10**6)}" for _ in range(160)]
+            block = [f"x{rng.randrange(10**6)}" for _ in range(n)]
+            texts += [" ".join(base), " ".join((base + block, block + base, base[:60] + base[60 + n * 4 // 5 :])[k % 3])]
+    want = similar_by_hand(texts)
+    assert len(texts) // 2 < len(want) < len(texts)
+    assert kept_of(spark, texts) == want
+
+
 # 4 SentencePiece
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
