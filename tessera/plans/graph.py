@@ -24,15 +24,19 @@ def _facts(spark: SparkSession, at: str) -> DataFrame:
 FACTS = "facts as (select event_id as id, 'u' || user_id as src, 'k' || json_extract_string(props, '$.k') as dst, event_type as type, ts as valid_from, case when event_id % 3 <> 0 then ts + interval 10 days end as valid_to, 'c' || (event_id % 50) as chunk from events)"
 
 
-def _trade(spark: SparkSession, at: str) -> DataFrame:
+def _relations(lines: DataFrame) -> DataFrame:
     """Order lines as relations of a part to a supplier, weighted by quantity."""
-    x = table(spark, at, "lineitem").where("l_orderkey % 7 = 0")
-    return x.select(
+    return lines.select(
         F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("id"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"),
         F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst"), F.col("l_returnflag").alias("type"), F.col("l_quantity").alias("weight"), F.lit(None).cast("timestamp").alias("valid_to"),
     )
 
 
+def _trade(spark: SparkSession, at: str) -> DataFrame:
+    """The relations of a seventh of the orders, as TRADE has them."""
+    return _relations(table(spark, at, "lineitem").where("l_orderkey % 7 = 0"))
+
+
 TRADE = "trade as (select l_orderkey || '-' || l_linenumber as id, 'p' || l_partkey as src, 's' || l_suppkey as dst, l_returnflag as type, l_quantity as weight from lineitem where l_orderkey % 7 = 0)"
 
 
@@ -139,7 +143,7 @@ def connected_components(spark: SparkSession, at: str) -> DataFrame:
 @R.query()
 def label_propagation(spark: SparkSession, at: str) -> DataFrame:
     """Labels depend on the synchronous schedule; their properties are tested instead."""
-    return G.label_propagation(G.consolidated_edges(_trade(spark, at)))
+    return G.label_propagation(G.consolidated_edges(_relations(table(spark, at, "lineitem"))))
 
 
 @R.query()
