@@ -149,7 +149,8 @@ def label_propagation(spark: SparkSession, at: str) -> DataFrame:
 @R.query()
 def louvain_communities(spark: SparkSession, at: str) -> DataFrame:
     """Modularity optimisation has no SQL form; its properties are tested instead."""
-    x = _links(spark, at).withColumn("weight", F.lit(1.0))
+    o = table(spark, at, "orders")
+    x = o.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("dst"), F.lit(1.0).alias("weight"))
     ids = x.select(F.col("src").alias("id")).union(x.select("dst")).distinct()
     return G.communities(ids, x)
 

@@ -47,6 +47,17 @@ def test_labels_of_all_order_lines(spark):
     assert {(r.id, r.label) for r in catalogue.queries()["label_propagation"](spark, AT).collect()} == want
 
 
+def test_communities_of_all_orders(spark):
+    """Customers with their orders are stars, so each is one community of all of them."""
+    want = {}
+    for r in spark.read.parquet(f"{AT}/orders.parquet").select("o_orderkey", "o_custkey").collect():
+        want.setdefault(r.o_custkey, {f"c{r.o_custkey}"}).add(f"o{r.o_orderkey}")
+    got = {}
+    for r in catalogue.queries()["louvain_communities"](spark, AT).collect():
+        got.setdefault(r.community, set()).add(r.id)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
