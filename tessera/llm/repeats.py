@@ -478,10 +478,11 @@ def _kept(raw: bytes, ranges: list[tuple[int, int]]) -> bytes:
 
 
 def removal_digests(df: DataFrame, id_col: str, text_col: str, length: int = 400) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256) for each row.
+    """(id, n_bytes, n_removed, n_spans, kept_sha256, text) for each row.
 
-    Null texts count as empty and texts shorter than `length` have no repeats. Repeated rows stay, each
-    losing what the copies share. Null ids stay. Only the two named columns are read, so others cannot
+    n_bytes is the size of the whole text, kept_sha256 the digest of the bytes that stay and text is what
+    stays, without characters that a removed run cuts through. Null texts count as empty and texts shorter
+    than `length` have no repeats. Repeated rows stay, each losing what the copies share. Null ids stay. Only the two named columns are read, so others cannot
     clash. An empty table gives an empty result.
     """
     kind = df.schema[id_col].dataType.simpleString()
@@ -490,17 +491,20 @@ def removal_digests(df: DataFrame, id_col: str, text_col: str, length: int = 400
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in slices(batches):
-            size, gone, many, sha = [], [], [], []
+            size, gone, many, sha, left = [], [], [], [], []
             for text, asked in zip(x.column(1).to_pylist(), x.column(2).to_pylist(), strict=True):
                 raw, spans = text.encode(), _join_ranges(asked)
+                kept = _kept(raw, spans) if spans else raw
                 size.append(len(raw))
                 gone.append(sum(b - a for a, b in spans))
                 many.append(len(spans))
-                sha.append(hashlib.sha256(_kept(raw, spans)).hexdigest())
-            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(many, pa.int64()), pa.array(sha, pa.string())], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                sha.append(hashlib.sha256(kept).hexdigest())
+                left.append(kept.decode(errors="ignore") if spans else text)
+            cols = [pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(many, pa.int64()), pa.array(sha, pa.string()), pa.array(left, pa.string())]
+            yield pa.RecordBatch.from_arrays([x.column(0), *cols], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
     joined = texts.join(ranges, ["tkey", "tlen"], "left").select("id", "t", "ranges")
-    return joined.mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
 
 
 def without_repeats(df: DataFrame, text_col: str, length: int = 400, words: int | None = None) -> DataFrame:

@@ -332,14 +332,18 @@ def test_repeats_match_brute_force(spark, length):
     src = sample(spark, 200).collect()
     want = brute_repeats([(r.text or "").encode() for r in src], length)
     got = {r.id: tuple(r)[1:] for r in repeats.removal_digests(sample(spark, 200), "doc_id", "text", length).collect()}
-    assert [got[r.doc_id] for r in src] == want
+    assert [got[r.doc_id][:4] for r in src] == want
+    # The kept text has the kept bytes, but for characters that a run cuts through.
+    for r in src:
+        n, gone, many, sha, text = got[r.doc_id]
+        assert n - gone - 6 * many <= len(text.encode()) <= n - gone and (len(text.encode()) < n - gone or hashlib.sha256(text.encode()).hexdigest() == sha)
 
 
 def test_repeats_edges(spark):
     x = docs(spark)
     src = x.collect()
     want = Counter((r.doc_id, *b) for r, b in zip(src, brute_repeats([(r.text or "").encode() for r in src], 16), strict=True))
-    assert Counter(tuple(r) for r in repeats.removal_digests(x, "doc_id", "text", 16).collect()) == want
+    assert Counter(tuple(r)[:5] for r in repeats.removal_digests(x, "doc_id", "text", 16).collect()) == want
     cut = {r.doc_id: r for r in repeats.without_repeats(x, "text", 16).collect()}
     assert cut[0].text is None and cut[6].text == "" and cut[5].text == "" and cut[9].text == "é" and cut[9].tkey == "clash"
     assert repeats.removal_digests(empty(spark), "doc_id", "text", 16).count() == 0
@@ -349,7 +353,7 @@ def test_large_anchor_is_counted(spark, monkeypatch):
     monkeypatch.setattr(repeats, "GROUP_BYTES", 100)
     src = sample(spark, 120).collect()
     want = brute_repeats([(r.text or "").encode() for r in src], 40)
-    got = {r.id: tuple(r)[1:] for r in repeats.removal_digests(sample(spark, 120), "doc_id", "text", 40).collect()}
+    got = {r.id: tuple(r)[1:5] for r in repeats.removal_digests(sample(spark, 120), "doc_id", "text", 40).collect()}
     assert [got[r.doc_id] for r in src] == want
 
 
