@@ -2,8 +2,8 @@
 
 A 64-bit fingerprint is eight positional bytes. Two fingerprints that differ in at most three bits
 share at least five of the eight. The index posts each distinct fingerprint under positional bytes;
-for each pair that meets in a posting, the shared positional bytes are tallied, pairs with fewer
-than the guaranteed five are let go, and the rest are verified bit by bit.
+for each pair that meets in a posting, the shared positional bytes are tallied first, pairs with fewer
+than the guaranteed five are let go by their count, and only the rest are verified bit by bit.
 
 A posting of one byte would hold a 256th of all fingerprints. Of five shared positions, three lie in
 the same half (positions 0-3 or 4-7), so postings here are keyed by three positional bytes of one
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
+from ..session import ensure_checkpoint_dir
 from .textbytes import steps, text_buffer
 from .xxh64 import xxh64_ranges
 
@@ -104,21 +105,31 @@ def with_fingerprint(df: DataFrame, id_col: str, text_col: str, words: int = 3)
     return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"id {kind}, fp long")
 
 
-def _shared(x: np.ndarray) -> np.ndarray:
-    """How many of the eight positional bytes of a xor are zero, i.e. shared."""
-    return (x[..., None].view(np.uint8).reshape(*x.shape, 8) == 0).sum(-1)
+def tallied(octets: np.ndarray, others: np.ndarray, need: int) -> np.ndarray:
+    """Count filtering: whether each of octets (n x 8) shares `need` positional bytes or more with each of others (m x 8)."""
+    tally = np.zeros((len(octets), len(others)), np.uint8)
+    for p in range(8):
+        tally += octets[:, p, None] == others[None, :, p]
+    return tally >= need
+
+
+def _octets(fp: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(fp).view(np.uint8).reshape(-1, 8)
 
 
 def _links_of_run(fp: np.ndarray, most: int, need: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Star links that join every linked set of one posting, met block against block."""
     root = np.arange(len(fp))
+    octets = _octets(fp)
     for a in range(0, len(fp), BLOCK):
         for b in range(a, len(fp), BLOCK):
-            x = fp[a : a + BLOCK, None] ^ fp[None, b : b + BLOCK]
-            near = np.bitwise_count(x) <= most
-            i, j = np.nonzero(np.triu(near, 1) if a == b else near)
-            tallied = _shared(x[i, j]) >= need
-            i, j = i[tallied] + a, j[tallied] + b
+            mine, other = slice(a, a + BLOCK), slice(b, b + BLOCK)
+            if (root[mine] == root[a]).all() and (root[other] == root[a]).all():
+                continue
+            retained = tallied(octets[mine], octets[other], need)
+            i, j = np.nonzero(np.triu(retained, 1) if a == b else retained)
+            near = np.bitwise_count(fp[mine][i] ^ fp[other][j]) <= most
+            i, j = i[near] + a, j[near] + b
             while True:
                 ri, rj = root[i], root[j]
                 if (ri == rj).all():
@@ -138,13 +149,13 @@ def _links(key: np.ndarray, fp: np.ndarray, most: int, need: int) -> Iterator[tu
     size = np.diff(np.r_[head, len(key)])
     small = np.repeat(size <= 8, size)
     k, f = key[small], fp[small]
+    octets = _octets(f)
     for shift in range(1, 8):
         if len(k) <= shift:
             break
-        x = f[shift:] ^ f[:-shift]
-        ok = (k[shift:] == k[:-shift]) & (np.bitwise_count(x) <= most)
-        at = np.flatnonzero(ok)
-        at = at[_shared(x[at]) >= need] if len(at) else at
+        at = np.flatnonzero(k[shift:] == k[:-shift])
+        at = at[(octets[at] == octets[at + shift]).sum(1) >= need]
+        at = at[np.bitwise_count(f[at] ^ f[at + shift]) <= most]
         if len(at):
             yield f[at], f[at + shift]
     for h, m in zip(head[size > 8], size[size > 8], strict=True):
@@ -199,8 +210,8 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, words: int = 3, m
     but is no group's smallest id unless all its ids are null. Only the two named columns are read, so
     further columns cannot clash. An empty table gives an empty result.
     """
-    prints = with_fingerprint(df, id_col, text_col, words)
-    prints = prints.checkpoint()
+    ensure_checkpoint_dir(df.sparkSession)
+    prints = with_fingerprint(df, id_col, text_col, words).checkpoint()
     distinct = prints.groupBy("fp").agg(F.min("id").alias("low"))
     member = components(near_links(distinct.select("fp"), most), "a", "b")
     rooted = distinct.join(member, distinct.fp == member.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")

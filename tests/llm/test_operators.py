@@ -138,11 +138,24 @@ def test_large_posting_is_met_in_blocks(monkeypatch):
     want = brute_components([int(x) for x in fp])
     root = {int(x): int(x) for x in fp}
     for u, v in zip(a.tolist(), b.tolist(), strict=True):
-        assert (u ^ v).bit_count() <= 64
+        assert int(np.searchsorted(fp, u)) == want[int(np.searchsorted(fp, v))]
         root[v] = u
     assert [int(np.searchsorted(fp, root[int(x)])) for x in fp] == want
 
 
+def test_tally_lets_pairs_go_before_bits_are_looked_at(monkeypatch):
+    base = 0x0102030405060708
+    five, four = base ^ 0x070000, base ^ 0x01010101  # three bits in one byte; four bits in four bytes
+    x = np.array([base, five, four], np.uint64)
+    kept = simhash.tallied(simhash._octets(x), simhash._octets(x), 5)
+    assert kept.tolist() == [[True, True, False], [True, True, False], [False, False, True]]
+    looked = []
+    bits = np.bitwise_count
+    monkeypatch.setattr(simhash.np, "bitwise_count", lambda v: looked.extend(np.atleast_1d(v).tolist()) or bits(v))
+    list(simhash._links_of_run(x, 3, 5))
+    assert looked == [base ^ five]
+
+
 def test_components_of_a_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (None, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
