@@ -32,13 +32,27 @@ BEAM = 160
 ENTRIES = 24
 
 
+def _usable_rows(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(id, v) of rows that take part; v keeps its components as they are, in double precision."""
+    x = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
+    wide = x.schema["v"].dataType.elementType.typeName() != "float"
+    if wide:
+        x = x.withColumn("v", F.transform("v", lambda c: c.cast("double")))
+    return x.where(F.exists("v", lambda c: c != 0))
+
+
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors in single precision, all divided by the largest component; the order of inner products stays."""
+    top = np.abs(x).max() if x.size else 0
+    return (x / top if top > 0 else x).astype("f4")
+
+
 def nodes(df: DataFrame, id_col: str, vector_col: str, keep: int) -> DataFrame:
     """(block, node, v, ids): distinct usable vectors with their `keep` smallest ids, numbered in their shard.
 
     Null ids and vectors that are null, zero or hold null or non-finite components take no part.
     """
-    x = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
-    x = x.withColumn("v", F.transform("v", lambda c: c.cast("float"))).where(F.exists("v", lambda c: c != 0))
+    x = _usable_rows(df, id_col, vector_col)
     # The smallest ids of a vector in two steps, so that no task takes a whole group of copies.
     x = x.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
     x = x.withColumn("r", F.row_number().over(Window.partitionBy("v", "salt").orderBy("id"))).where(F.col("r") <= keep)
@@ -51,8 +65,8 @@ def nodes(df: DataFrame, id_col: str, vector_col: str, keep: int) -> DataFrame:
 
 
 def _vectors(_: int, rows: pa.Table) -> np.ndarray:
-    out = matrix(rows["v"].combine_chunks(), "f4")
-    return out[np.argsort(rows["node"].to_numpy())]
+    out = matrix(rows["v"].combine_chunks(), "f8")
+    return _scaled(out[np.argsort(rows["node"].to_numpy())])
 
 
 def _best(x: np.ndarray, node: int, among: np.ndarray, degree: int) -> np.ndarray:
@@ -92,7 +106,7 @@ def graph(table: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS) -> DataF
             near.append(_best(x, v, np.unique(among), degree))
         return with_block(block, _lists(who, near, [len(k) for k in near]))
 
-    asked = table.select("block", "node", F.lit(None).cast("array<float>").alias("v"), F.lit(None).cast("array<int>").alias("near"), F.lit(None).cast("array<int>").alias("old"))
+    asked = table.select("block", "node", F.lit(None).alias("v"), F.lit(None).cast("array<int>").alias("near"), F.lit(None).cast("array<int>").alias("old"))
     now = meet(held, asked, schema, lines, start).checkpoint()
 
     def vectors(block: int, rows: pa.Table) -> tuple[int, np.ndarray]:
@@ -117,7 +131,7 @@ def graph(table: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS) -> DataF
         both = ahead.union(back).distinct()
         lists = now.select("block", F.col("node").alias("by"), F.col("near").alias("near_by"))
         met = both.join(lists, ["block", "by"]).groupBy("block", "node").agg(F.flatten(F.collect_list(F.concat("near_by", F.array("by")))).alias("near"))
-        ask = met.join(now.select("block", "node", F.col("near").alias("old")), ["block", "node"]).select("block", "node", F.lit(None).cast("array<float>").alias("v"), F.array_distinct("near").alias("near"), "old")
+        ask = met.join(now.select("block", "node", F.col("near").alias("old")), ["block", "node"]).select("block", "node", F.lit(None).alias("v"), F.array_distinct("near").alias("near"), "old")
         # A node that neither lists nor is listed stands alone in its shard and keeps its empty list.
         alone = now.where(F.size("near") == 0).withColumn("fresh", F.lit(0))
         now = meet(held, ask, schema, vectors, score).unionByName(alone).checkpoint()
@@ -178,32 +192,31 @@ def search(table: DataFrame, links: DataFrame, queries: DataFrame, id_col: str,
     id out. Of several queries of one id the one with the smallest vector is asked. Queries with unusable
     vectors get no rows. Ties go to the smaller id.
     """
-    q = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
-    q = q.withColumn("v", F.transform("v", lambda c: c.cast("float"))).where(F.exists("v", lambda c: c != 0)).groupBy("id").agg(F.min("v").alias("v"))
+    q = _usable_rows(queries, id_col, vector_col).groupBy("id").agg(F.min("v").alias("v"))
     blocks = table.select("block").distinct()
     held = table.join(links.select("block", "node", "near"), ["block", "node"]).select("block", F.lit(None).cast("long").alias("id"), "node", "v", "near", "ids")
     # One row for each shard: the stated query set against all shards.
     asked = q.join(F.broadcast(blocks.agg(F.collect_set("block").alias("all")))).select(F.explode("all").alias("block"), "id", F.lit(0).alias("node"), "v", F.lit(None).cast("array<int>").alias("near"), F.lit(None).cast("array<long>").alias("ids"))
 
-    def settle(block: int, rows: pa.Table) -> tuple[np.ndarray, np.ndarray, list]:
+    def settle(block: int, rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
         order = np.argsort(rows["node"].to_numpy())
-        x = matrix(rows["v"].combine_chunks(), "f4")[order]
+        x = matrix(rows["v"].combine_chunks(), "f8")[order]
         lists, ids = rows["near"].combine_chunks(), rows["ids"].combine_chunks()
         near = np.tile(np.arange(len(x))[:, None], (1, max([1, *(len(lists[int(i)]) for i in order)])))
         for v, i in enumerate(order.tolist()):
             one = lists[i].values.to_numpy()
             near[v, : len(one)] = one
-        return x, near, [ids[int(i)].values.to_numpy() for i in order]
+        return x, _scaled(x), near, [ids[int(i)].values.to_numpy() for i in order]
 
     def answer(state: tuple, rows: pa.RecordBatch) -> pa.RecordBatch:
-        x, near, ids = state
-        who, v = rows.column("id").to_numpy(), matrix(rows.column("v"), "f4")
+        x, walk, near, ids = state
+        who, v = rows.column("id").to_numpy(), matrix(rows.column("v"), "f8")
         out_q, out_i, out_s = [], [], []
         for a in range(0, len(who), 256):
-            found, _ = greedy(x, near, v[a : a + 256], k + 1, beam)
-            for me, vec, at in zip(who[a : a + 256].tolist(), v[a : a + 256].astype("f8"), found, strict=True):
+            found, _ = greedy(walk, near, _scaled(v[a : a + 256]), k + 1, beam)
+            for me, vec, at in zip(who[a : a + 256].tolist(), v[a : a + 256], found, strict=True):
                 at = at[at >= 0]
-                exact = (x[at].astype("f8") * vec).sum(1)
+                exact = (x[at] * vec).sum(1)
                 for node, s in zip(at.tolist(), exact.tolist(), strict=True):
                     mine = [i for i in ids[node].tolist() if i != me][:k]
                     out_q += [me] * len(mine)
@@ -217,7 +230,13 @@ def search(table: DataFrame, links: DataFrame, queries: DataFrame, id_col: str,
 
 
 def nearest(df: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int) -> DataFrame:
-    """(query_id, rank, id, score): the index over all of df is built, then asked for the queries' k nearest."""
+    """(query_id, rank, id, score): the index over all of df is built, then asked for the queries' k nearest.
+
+    Rows with a null id and vectors that are null, zero or hold null or non-finite components take no part,
+    neither as candidates nor as queries. Repeated rows and equal vectors are one node with all its ids
+    that can be asked for; ties go to the smaller id. Scores are inner products of the vectors as given, in
+    double precision. Only the two named columns are read; an empty table gives an empty result.
+    """
     ensure_checkpoint_dir(df.sparkSession)
     table = nodes(df, id_col, vector_col, k + 1)
     return search(table, graph(table), queries, id_col, vector_col, k)
