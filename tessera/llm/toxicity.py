@@ -1,9 +1,10 @@
 """Toxicity by a classifier chain.
 
 Categories are predicted one after another. Each has a logistic model over hashed words and word
-beginnings, scaled by their log-count ratio, and each model after the first also sees the probabilities of the categories before it. In training those
-are out-of-fold: a row's earlier probabilities come from models that have not seen the row, so later
-models meet them as they will be met in prediction.
+beginnings, scaled by their log-count ratio, and each model after the first also sees the probabilities
+of the categories before it, so the category that decides stands last. In training those are
+out-of-fold: a row's earlier probabilities come from models that have not seen the row, so later models
+meet them as they will be met in prediction.
 """
 
 from __future__ import annotations

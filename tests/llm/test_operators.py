@@ -464,6 +464,34 @@ def test_neighbours_recall_and_scores(spark):
     assert hits / total >= 0.9
 
 
+def test_neighbours_keep_double_precision(spark):
+    """Doubles beyond what single precision tells apart, or holds, are scored as they are."""
+    rng = random.Random(2)
+    for scale in (1.0, 1e60):
+        rows = [(i, [scale * (1 + rng.random() * 1e-12), scale * rng.random()]) for i in range(60)]
+        x = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        by = dict(rows)
+        for r in ann.nearest(x, x.where("vec_id = 0"), "vec_id", "embedding", 60).collect():
+            assert r.score == (np.array(by[r.id]) * np.array(by[0])).sum()
+
+
+def test_neighbours_recall_over_several_shards(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SHARD_ROWS", 128)
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    data = rows.collect()
+    e, ids = np.array([r.embedding for r in data], float), np.array([r.vec_id for r in data])
+    got = {}
+    for r in ann.nearest(rows, rows.where("vec_id % 20 = 0"), "vec_id", "embedding", 20).collect():
+        got.setdefault(r.query_id, set()).add(r.id)
+    assert ann.nodes(rows, "vec_id", "embedding", 21).select("block").distinct().count() >= 3
+    hits = []
+    for i in np.flatnonzero(ids % 20 == 0):
+        s = e @ e[i]
+        s[i] = -np.inf
+        hits.append(len(got[int(ids[i])] & set(ids[np.lexsort((ids, -s))[:20]].tolist())) / 20)
+    assert np.mean(hits) >= 0.9
+
+
 def test_neighbours_of_copies_and_bad_vectors(spark):
     rows = [(i, [1.0, 0.0]) for i in range(40)] + [(50, [0.6, 0.8]), (51, None), (52, [0.0, 0.0]), (53, [1.0, None]), (54, [float("nan"), 1.0]), (55, [float("inf"), 1.0]), (None, [1.0, 1.0])]
     x = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("node", F.lit("clash"))
@@ -480,7 +508,7 @@ def test_neighbours_of_copies_and_bad_vectors(spark):
 def test_toxicity_held_out(spark):
     d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     y = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").withColumn("low_quality", 1 - F.col("quality"))
-    chain = toxicity.fit_chain(d, y.where("doc_id % 3 <> 1"), "doc_id", "text", ["toxic", "low_quality"])
+    chain = toxicity.fit_chain(d, y.where("doc_id % 3 <> 1"), "doc_id", "text", ["low_quality", "toxic"])
     held = toxicity.with_toxicity(d.join(y.where("doc_id % 3 = 1").withColumnRenamed("toxic", "y"), "doc_id").select("doc_id", "text", "y"), "text", chain, "toxic")
     r = held.agg(*[F.count_if(F.expr(e)) for e in ("toxic and y = 1", "y = 1", "toxic and y = 0", "y = 0")]).first()
     assert r[0] / r[1] > 0.8 and r[2] / r[3] < 0.01
@@ -494,6 +522,50 @@ def test_later_models_see_out_of_fold_probabilities():
     assert chain.models[1].v.shape == (1,) and chain.models[1].v[0] > 0
     p = chain.predict([np.array([0]), np.array([1])])
     assert p[0, 0] > 0.9 > 0.1 > p[1, 0] and p[0, 1] > 0.9 > 0.1 > p[1, 1]
+    # What the first link says enters the second: without it the second says something else.
+    chain.models[0].w[:], chain.models[0].b = 0, -30.0
+    assert abs(chain.predict([np.array([0])])[0, 1] - p[0, 1]) > 0.001
+
+
+def chain_by_hand(chain, rows):
+    """Probabilities of a chain, a row and a link at a time."""
+    out = []
+    for r in rows:
+        p = []
+        for m in chain.models:
+            margin = m.b + sum(float(m.w[k]) for k in r) + sum(float(v) * q for v, q in zip(m.v, p, strict=True))
+            p.append(1 / (1 + math.exp(-margin)))
+        out.append(p)
+    return out
+
+
+def test_chain_of_the_query_ends_in_toxicity(spark):
+    """The query's links in their order, their out-of-fold inputs and outputs recomputed by hand on a small table."""
+    from tessera.llm.queries import fitted_chain
+
+    d, y = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    chain = fitted_chain(d, y)
+    assert chain.categories == ["low_quality", "toxic"] and chain.models[1].v[0] != 0
+    some = d.where("text is not null").limit(40)
+    hashed = toxicity.Hasher()
+    want = {r.doc_id: chain_by_hand(chain, [hashed(r.text).tolist()])[0] for r in some.collect()}
+    for r in toxicity.with_toxicity(some, "text", chain, "toxic").collect():
+        assert np.allclose([r.p_low_quality, r.p_toxic], want[r.doc_id]) and r.toxic == (r.p_toxic >= chain.cuts[1] and bool(len(hashed(r.text))))
+
+
+def test_out_of_fold_probabilities_come_from_models_without_the_row():
+    rng = np.random.default_rng(4)
+    rows = [np.unique(rng.integers(0, 12, 5)) for _ in range(80)]
+    y = np.array([int(3 in r) for r in rows])
+    chain = toxicity.Chain(["a", "b"], features=16).fit(rows, np.column_stack([y, y]))
+    x = toxicity.Rows(rows, np.zeros((80, 0)))
+    fold = np.arange(80) % toxicity.FOLDS
+    out = np.zeros(80)
+    for f in range(toxicity.FOLDS):
+        held, rest = np.flatnonzero(fold == f), np.flatnonzero(fold != f)
+        out[held] = toxicity.Linear(16, 0).fit(x.take(rest), y[rest].astype(float)).probabilities(x.take(held))
+    again = toxicity.Linear(16, 1).fit(toxicity.Rows(rows, out[:, None]), y.astype(float))
+    assert np.allclose(again.v, chain.models[1].v) and np.allclose(again.w, chain.models[1].w)
 
 
 def test_toxicity_edges(spark):
