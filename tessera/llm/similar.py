@@ -1,16 +1,17 @@
 """Near-duplicates by similarity of word shingles, found through two indexes and verified exactly.
 
-The first index finds most links cheaply and joins large groups. Each text has SEEDS fingerprints over its
-distinct words; a pair is a candidate if any of them passes the byte-position index with count filtering.
-It is not complete: a large posting meets its pivots only, and a fingerprint of three differing bits misses
-pairs that are similar enough.
+The first index is the byte-position index of SimHash fingerprints with count filtering. It joins most of
+each group cheaply: each posting answers with one near partner for each of its texts, and each text is
+verified against one of those. Fingerprints of three differing bits miss pairs that are similar enough.
 
 The second index is complete. Under one order of all shingles, two sets of Jaccard similarity t or more
 share a shingle among the first n - ceil(t n) + 1 of each. Texts meet under those; every pair that is not
 in one group yet and whose sizes and places allow the similarity is a candidate. The order puts
 shingles that are frequent in a sample last, which keeps postings short; any order gives the same links.
 
-A candidate of either index is a link if its shingle sets have the wanted Jaccard similarity.
+Candidates are verified in two steps, both exact. Sets that differ in d shingles have parity maps that differ
+in d bits at most, so a pair whose maps differ in more bits than the similarity allows is let go. The rest
+is a link if the sets of 64-bit shingle hashes have the wanted Jaccard similarity.
 """
 
 from __future__ import annotations
@@ -24,20 +25,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from ..session import ensure_checkpoint_dir
-from .simhash import BLOCK, _LOWER, _SPACES, _SPREAD
-from .textbytes import steps, text_buffer
+from ..session import ensure_checkpoint_dir, stored
+from .simhash import BLOCK, _LOWER, _SPACES, _SPREAD, _octets, tallied
+from .textbytes import slices, steps, text_buffer
 from .xxh64 import xxh64_ranges
 
-SEEDS = 8
+SEEDS = 2
 MOST_BITS, LEAST_BYTES = 3, 5
-#: A posting of more texts compares each with PIVOTS of them, not all pairs: those with most near neighbours
-#: in it, and those with the smallest nodes, who are the same in many postings.
-ALL_PAIRS, PIVOTS = 16, 6
 #: One text of SAMPLE is counted for the order of shingles; those met in SEEN of them or more, FREQUENT at most, go last.
 SAMPLE, SEEN, FREQUENT = 16, 3, 200_000
 #: Runs of a shingle with up to so many texts are met by shifted comparison, all at once.
 SHORT_RUN = 32
+#: Bits of a set's parity map.
+MAP_BITS = 2048
+#: Wanted postings of one task of the complete index.
+TASK_POSTINGS = 2_000_000
+#: Pairs that a task gathers before it gives the distinct ones on.
+HELD_PAIRS = 1 << 20
 
 _SEEDS = [np.uint64((0x9E3779B97F4A7C15 * s) & (2**64 - 1)) for s in range(1, SEEDS + 1)]
 
@@ -65,82 +69,142 @@ def _words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return owner, xxh64_ranges(text, starts, ends - starts)
 
 
-def word_prints(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """SEEDS fingerprints of each text over its distinct words; zeros without words."""
-    n = len(offsets) - 1
+def _prints(owner: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """SEEDS fingerprints of each of n texts over its distinct words; zeros without words."""
     out = np.zeros((n, SEEDS), np.uint64)
-    for a, b in steps(offsets):
-        if offsets[b] == offsets[a]:
-            continue
-        owner, h = _words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        if not len(h):
-            continue
-        # Words of 44 bits behind the text's number: one sort finds the distinct ones of every text.
-        bits = np.uint64(20)
-        key = np.unique((owner.astype(np.uint64) << (np.uint64(64) - bits)) | (h >> bits))
-        of = (key >> (np.uint64(64) - bits)).astype(np.int64)
-        head = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-        size = np.diff(np.r_[head, len(of)])
-        nth = np.arange(len(of)) - np.repeat(head, size)
-        cuts = np.flatnonzero(nth % 255 == 0)
-        edge = np.flatnonzero(np.r_[True, of[cuts][1:] != of[cuts][:-1]])
-        word = key << bits
-        for s, seed in enumerate(_SEEDS):
-            octets = _mixed(word, seed).view(np.uint8).reshape(-1, 8)
-            total = np.zeros((len(head), 64), np.int64)
-            for k in range(8):
-                part = np.add.reduceat(_SPREAD[octets[:, k]], cuts).view(np.uint8).reshape(-1, 8).astype(np.int64)
-                total[:, 8 * k : 8 * k + 8] = np.add.reduceat(part, edge, axis=0)
-            out[a + of[head], s] = np.packbits(total * 2 > size[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+    # Words of 44 bits behind the text's number: one sort finds the distinct ones of every text.
+    bits = np.uint64(20)
+    key = np.unique((owner.astype(np.uint64) << (np.uint64(64) - bits)) | (h >> bits))
+    of = (key >> (np.uint64(64) - bits)).astype(np.int64)
+    head = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+    size = np.diff(np.r_[head, len(of)])
+    nth = np.arange(len(of)) - np.repeat(head, size)
+    cuts = np.flatnonzero(nth % 255 == 0)
+    edge = np.flatnonzero(np.r_[True, of[cuts][1:] != of[cuts][:-1]])
+    word = key << bits
+    for s, seed in enumerate(_SEEDS):
+        octets = _mixed(word, seed).view(np.uint8).reshape(-1, 8)
+        total = np.zeros((len(head), 64), np.int64)
+        for k in range(8):
+            part = np.add.reduceat(_SPREAD[octets[:, k]], cuts).view(np.uint8).reshape(-1, 8).astype(np.int64)
+            total[:, 8 * k : 8 * k + 8] = np.add.reduceat(part, edge, axis=0)
+        out[of[head], s] = np.packbits(total * 2 > size[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+    return out
+
+
+def _chained(h: np.ndarray, words: int) -> np.ndarray:
+    """The hash of each run of so many words."""
+    x = np.zeros(max(len(h) - words + 1, 0), np.uint64)
+    for k in range(words):
+        x = _mixed(x * np.uint64(31) + h[k : len(h) - words + 1 + k], _SEEDS[0])
+    return x
+
+
+def _sets(owner: np.ndarray, h: np.ndarray, n: int, words: int) -> list[np.ndarray]:
+    """The sorted distinct hashes of each text's word shingles; a shorter text has its whole sequence."""
+    out = [np.zeros(0, np.uint64)] * n
+    count = np.bincount(owner, minlength=n)
+    first = np.r_[0, np.cumsum(count)[:-1]]
+    x = _chained(h, words) if len(h) >= words else h[:0]
+    for d in np.flatnonzero(count).tolist():
+        lo, m = first[d], count[d]
+        out[d] = np.unique(x[lo : lo + m - words + 1] if m >= words else _chained(h[lo : lo + m], m))
     return out
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.ndarray]:
-    """The sorted distinct hashes, 32 bits each, of each text's word shingles."""
-    n = len(offsets) - 1
-    out = [np.zeros(0, np.uint32)] * n
+    """The sorted distinct 64-bit hashes of each text's word shingles."""
+    out: list[np.ndarray] = []
     for a, b in steps(offsets):
-        if offsets[b] == offsets[a]:
-            continue
-        owner, h = _words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        count = np.bincount(owner, minlength=b - a)
-        first = np.r_[0, np.cumsum(count)[:-1]]
-        for d in np.flatnonzero(count).tolist():
-            w = h[first[d] : first[d] + count[d]]
-            m = min(words, len(w))
-            x = np.zeros(len(w) - m + 1, np.uint64)
-            for k in range(m):
-                x = _mixed(x * np.uint64(31) + w[k : len(w) - m + 1 + k], _SEEDS[0])
-            out[a + d] = np.unique(x.astype(np.uint32))
+        out += _sets(*_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), b - a, words)
     return out
 
 
-def _pairs_of_run(fp: np.ndarray, node: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidate pairs of one posting."""
+def parity_maps(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of MAP_BITS / 8 bytes a set: a bit is 1 if an odd number of its shingles fall on it."""
+    at = np.concatenate([np.zeros(0, np.uint64), *sets]) & np.uint64(MAP_BITS - 1)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    odd = np.bincount(row * MAP_BITS + at.astype(np.int64), minlength=len(sets) * MAP_BITS) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(len(sets), MAP_BITS), axis=1)
 
-    def near(rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = fp[rows, None] ^ fp[None, cols]
-        i, j = np.nonzero(np.bitwise_count(x) <= MOST_BITS)
-        shared = (np.ascontiguousarray(x[i, j]).view(np.uint8).reshape(-1, 8) == 0).sum(1) >= LEAST_BYTES
-        return rows[i[shared]], cols[j[shared]]
 
-    n = len(fp)
-    every = np.arange(n)
-    if n <= ALL_PAIRS:
-        i, j = near(every, every)
-    else:
-        degree = np.zeros(n, np.int64)
-        for a in range(0, n, BLOCK):
-            degree[a : a + BLOCK] = sum((np.bitwise_count(fp[a : a + BLOCK, None] ^ fp[None, b : b + BLOCK]) <= MOST_BITS).sum(1) for b in range(0, n, BLOCK))
-        central = np.argsort(-degree, kind="stable")[: PIVOTS // 2]
-        i, j = near(np.union1d(central, np.argsort(node)[: PIVOTS - PIVOTS // 2]), every)
-    a, b = node[i], node[j]
-    keep = a != b
-    yield np.minimum(a, b)[keep], np.maximum(a, b)[keep]
+def shingle_order(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, counts) of the shingles that are frequent in a sample of texts (node, t), by key; they only order."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            k, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_sets(*text_buffer(x.column(1)), words)]) >> np.uint64(32), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(n)], names=["k", "n"])
+
+    some = texts.where(F.pmod("node", F.lit(SAMPLE)) == 0).mapInArrow(count, "k long, n long")
+    rows = some.groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") >= SEEN).orderBy(F.desc("n"), "k").limit(FREQUENT).collect()
+    k, n = np.array([r.k for r in rows], np.uint32), np.array([r.n for r in rows], np.int64)
+    by = np.argsort(k)
+    return k[by], n[by]
+
+
+def _first(s: np.ndarray, order: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
+    """The keys, upper halves of the hashes, of a sorted set's shingles that come first in the order; a similar set has one of them first, too."""
+    k, n = order
+    m = len(s) - int(np.ceil(least * len(s) - 1e-9)) + 1
+    key = (s >> np.uint64(32)).astype(np.uint32)
+    if not len(k):
+        return key[:m]
+    at = np.minimum(np.searchsorted(k, key), len(k) - 1)
+    return key[np.argsort(np.where(k[at] == key, n[at], 0), kind="stable")[:m]]
+
+
+def sketches(texts: DataFrame, words: int, least: float) -> DataFrame:
+    """(node, fps, size, firsts, bits) of each distinct text (node, t) with words: fingerprints, shingles, first keys, parity map."""
+    order = shingle_order(texts, words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
+        for x in slices(batches, 2048):
+            # Copies within a task are one node.
+            x = x.filter(pa.array([not (k in met or met.add(k)) for k in x.column(0).to_pylist()], pa.bool_()))
+            data, offsets = text_buffer(x.column(1))
+            node = x.column(0).to_numpy()
+            for a, b in steps(offsets):
+                owner, h = _words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                if not len(h):
+                    continue
+                sets = _sets(owner, h, b - a, words)
+                some = np.flatnonzero([len(s) > 0 for s in sets])
+                mine = [sets[i] for i in some.tolist()]
+                fps = pa.FixedSizeListArray.from_arrays(pa.array(_prints(owner, h, b - a)[some].view(np.int64).ravel()), SEEDS).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(node[a:b][some]), fps, pa.array([len(s) for s in mine], pa.int32()), pa.array([_first(s, order, least).tobytes() for s in mine], pa.binary()), pa.array([m.tobytes() for m in parity_maps(mine)], pa.binary())],
+                    names=["node", "fps", "size", "firsts", "bits"],
+                )
+
+    rows = texts.mapInArrow(run, "node long, fps array<long>, size int, firsts binary, bits binary")
+    return rows.groupBy("node").agg(F.first("fps").alias("fps"), F.first("size").alias("size"), F.first("firsts").alias("firsts"), F.first("bits").alias("bits"))
+
+
+def _partners(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j), i < j, of one posting: for each j that has any, one i of a near fingerprint, by count filtering and bits."""
+    octets = _octets(fp)
+    found_i, found_j = [], []
+    for b in range(0, len(fp), BLOCK):
+        left = np.arange(b, min(b + BLOCK, len(fp)))
+        for a in range(0, b + 1, BLOCK):
+            rows = np.arange(a, min(a + BLOCK, len(fp)))
+            near = tallied(octets[rows], octets[left], LEAST_BYTES)
+            near &= rows[:, None] < left[None, :]
+            i, j = np.nonzero(near)
+            ok = np.bitwise_count(fp[rows[i]] ^ fp[left[j]]) <= MOST_BITS
+            j, first = np.unique(j[ok], return_index=True)
+            found_i.append(rows[i[ok][first]])
+            found_j.append(left[j])
+            left = np.delete(left, j)
+            if not len(left):
+                break
+    return np.concatenate(found_i), np.concatenate(found_j)
 
 
 def candidate_pairs(prints: DataFrame) -> DataFrame:
-    """(a, b) of nodes that meet in the index; prints has node and fps, an array of SEEDS longs."""
+    """(a, b) of nodes that are near in the byte-position index, one partner a node and posting; prints has node and fps, an array of SEEDS longs."""
     post = [
         F.struct(F.lit((s * 2 + half) * 4 + drop).cast("long").alias("slot"), F.get("fps", F.lit(s)).alias("fp"), sum((F.shiftrightunsigned(F.get("fps", F.lit(s)), 8 * p).bitwiseAND(F.lit(255)) * F.lit(1 << (8 * i)) for i, p in enumerate(kept)), F.lit(0)).cast("long").alias("octets"))
         for s in range(SEEDS)
@@ -157,10 +221,13 @@ def candidate_pairs(prints: DataFrame) -> DataFrame:
                 return
             head = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
             size = np.diff(np.r_[head, len(k)])
+            pairs = [np.zeros((0, 2), np.int64)]
             for h, m in zip(head[size > 1].tolist(), size[size > 1].tolist(), strict=True):
-                for a, b in _pairs_of_run(f[h : h + m], v[h : h + m]):
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                i, j = _partners(f[h : h + m])
+                pairs.append(np.column_stack([v[h + i], v[h + j]]))
+            both = np.concatenate(pairs)
+            if len(both):
+                yield _pair_rows(both[:, 0], both[:, 1])
 
         for x in batches:
             now = [np.concatenate([old, x.column(i).to_numpy(zero_copy_only=False).view(old.dtype)]) for i, old in enumerate(hold)]
@@ -172,32 +239,13 @@ def candidate_pairs(prints: DataFrame) -> DataFrame:
         yield from met(*hold)
 
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "k").sortWithinPartitions("k").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition(n, "k").sortWithinPartitions("k", "node").mapInArrow(run, "a long, b long").distinct()
 
 
-def shingle_order(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles, counts) that are frequent in a sample of texts (node, t), by shingle; they only order."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            k, n = np.unique(np.concatenate([np.zeros(0, np.uint32), *shingle_sets(*text_buffer(x.column(1)), words)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(n)], names=["k", "n"])
-
-    some = texts.where(F.pmod("node", F.lit(SAMPLE)) == 0).mapInArrow(count, "k long, n long")
-    rows = some.groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") >= SEEN).orderBy(F.desc("n"), "k").limit(FREQUENT).collect()
-    k, n = np.array([r.k for r in rows], np.uint32), np.array([r.n for r in rows], np.int64)
-    by = np.argsort(k)
-    return k[by], n[by]
-
-
-def _first(s: np.ndarray, order: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
-    """The shingles of a sorted set, first in the order, of which a similar set holds one."""
-    k, n = order
-    m = len(s) - int(np.ceil(least * len(s) - 1e-9)) + 1
-    if not len(k):
-        return s[:m]
-    at = np.minimum(np.searchsorted(k, s), len(k) - 1)
-    return s[np.argsort(np.where(k[at] == s, n[at], 0), kind="stable")[:m]]
+def _pair_rows(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Distinct pairs, the smaller node first."""
+    both = np.unique(np.rec.fromarrays([np.minimum(a, b), np.maximum(a, b)]))
+    return pa.RecordBatch.from_arrays([pa.array(both.f0.copy()), pa.array(both.f1.copy())], names=["a", "b"])
 
 
 def _may_be_alike(size: np.ndarray, rest: np.ndarray, root: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
@@ -233,53 +281,86 @@ def _pairs_of_shingles(k: np.ndarray, size: np.ndarray, rest: np.ndarray, root:
                 yield u[i], v[j]
 
 
-def complete_pairs(texts: DataFrame, groups: DataFrame, words: int, least: float) -> DataFrame:
-    """(a, b): every pair of texts (node, t) of similarity `least` or more that groups (node, root) do not join, and others."""
-    order = shingle_order(texts, words)
+def complete_pairs(sketched: DataFrame, groups: DataFrame, least: float) -> DataFrame:
+    """(a, b): every pair of texts of similarity `least` or more that groups (node, root) do not join, and others.
 
-    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            sets = shingle_sets(*text_buffer(x.column(1)), words)
-            yield pa.RecordBatch.from_arrays([x.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_first(s, order, least).tobytes() for s in sets], pa.binary())], names=["node", "size", "firsts"]).filter(pa.array([len(s) > 0 for s in sets], pa.bool_()))
-
-    one = texts.mapInArrow(firsts, "node long, size long, firsts binary").groupBy("node").agg(F.min(F.struct("size", "firsts")).alias("s"))
-    # Texts of no group have no root, which packs better than their own node.
-    rooted = one.join(groups, "node", "left").select("node", F.coalesce("root", F.lit(0)).alias("root"), "s.size", "s.firsts")
+    Postings travel packed: a batch sends each task one row with all that it posts there.
+    """
+    n = int(sketched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = sketched.agg(F.sum(F.length("firsts"))).first()[0] or 0
+    parts = max(n, -(-total // (4 * TASK_POSTINGS)))
+    rooted = sketched.select("node", "size", "firsts").join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", "firsts")
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            k = [np.frombuffer(b, np.uint32) for b in x.column(3).to_pylist()]
-            n = np.array([len(b) for b in k], np.int64)
+            firsts = [np.frombuffer(b, np.uint32) for b in x.column(3).to_pylist()]
+            n = np.array([len(b) for b in firsts], np.int64)
             if not len(n):
                 continue
-            node, root, size = (np.repeat(x.column(i).to_numpy(), n) for i in range(3))
-            nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.concatenate(k).astype(np.int64), node, root, size, size - nth)], names=["k", "node", "root", "size", "rest"])
-
-    rows = rooted.mapInArrow(post, "k long, node long, root long, size long, rest long")
+            node, root, size = (x.column(i).to_numpy() for i in range(3))
+            k = np.concatenate(firsts)
+            doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
+            nth = (np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)).astype(np.uint32)
+            part = k % np.uint32(parts)
+            by = np.argsort(part, kind="stable")
+            cuts = np.searchsorted(part[by], np.arange(parts + 1))
+            out: list[tuple] = []
+            for p in np.flatnonzero(np.diff(cuts)).tolist():
+                at = by[cuts[p] : cuts[p + 1]]
+                mine, of = np.unique(doc[at], return_inverse=True)
+                out.append((p, *(c.tobytes() for c in (k[at], nth[at], of.astype(np.uint32), node[mine], root[mine], size[mine]))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int32() if i == 0 else pa.binary()) for i in range(7)], names=["p", "k", "nth", "of", "node", "root", "size"])
+
+    packed = rooted.mapInArrow(post, "p int, k binary, nth binary, of binary, node binary, root binary, size binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hold = [np.zeros(0, np.int64)] * 5
-
-        def met(k: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndarray, rest: np.ndarray) -> Iterator[pa.RecordBatch]:
-            if not len(k):
-                return
-            for i, j in _pairs_of_shingles(k, size, rest, np.where(root == 0, node, root), least):
-                a, b = node[i], node[j]
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        kinds = (np.uint32, np.uint32, np.uint32, np.int64, np.int64, np.int32)
+        held: list[list[np.ndarray]] = [[] for _ in kinds]
+        texts = 0
+        for x in batches:
+            for row in zip(*(c.to_pylist() for c in x.columns[1:]), strict=True):
+                one = [np.frombuffer(b, t) for b, t in zip(row, kinds, strict=True)]
+                one[2] = one[2] + np.uint32(texts)
+                texts += len(one[3])
+                for c, v in zip(held, one, strict=True):
+                    c.append(v)
+        if not texts:
+            return
+        k, nth, of, node, root, size = (np.concatenate(c) for c in held)
+        held.clear()
+        by = np.argsort(k, kind="stable")
+        k, nth, of = k[by], nth[by], of[by]
+        many = size[of].astype(np.int64)
+        pairs, waiting = [], 0
+        for i, j in _pairs_of_shingles(k, many, many - nth, root[of], least):
+            if len(i):
+                pairs.append((node[of[i]], node[of[j]]))
+                waiting += len(i)
+            if waiting >= HELD_PAIRS:
+                yield _pair_rows(*(np.concatenate(c) for c in zip(*pairs, strict=True)))
+                pairs, waiting = [], 0
+        if pairs:
+            yield _pair_rows(*(np.concatenate(c) for c in zip(*pairs, strict=True)))
+
+    return packed.repartitionById(parts, F.col("p")).mapInArrow(run, "a long, b long").where("a <> b").distinct()
+
+
+def map_filtered(pairs: DataFrame, sketched: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sizes and parity maps allow a similarity of `least`."""
+    side = lambda c: sketched.select(F.col("node").alias(c), F.col("size").alias(f"n{c}"), F.col("bits").alias(f"m{c}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ma", "mb")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            now = [np.concatenate([old, x.column(i).to_numpy()]) for i, old in enumerate(hold)]
-            if not len(now[0]):
+            if not x.num_rows:
                 continue
-            last = int(np.searchsorted(now[0], now[0][-1]))
-            yield from met(*(c[:last] for c in now))
-            hold = [c[last:].copy() for c in now]
-        yield from met(*hold)
+            p, q = x.column(2).to_numpy().astype(np.int64), x.column(3).to_numpy().astype(np.int64)
+            u, v = (np.frombuffer(b"".join(x.column(i).to_pylist()), np.uint64).reshape(x.num_rows, -1) for i in (4, 5))
+            differ = np.bitwise_count(u ^ v).sum(1, dtype=np.int64)
+            ok = (differ * (1 + least) <= (1 - least) * (p + q) + 1e-6) & (np.minimum(p, q) >= least * np.maximum(p, q) - 1e-9)
+            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
-    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "k").sortWithinPartitions("k").mapInArrow(run, "a long, b long").distinct()
+    return met.mapInArrow(run, "a long, b long")
 
 
 def verified(texts: DataFrame, found: DataFrame, words: int, least: float) -> DataFrame:
@@ -288,26 +369,30 @@ def verified(texts: DataFrame, found: DataFrame, words: int, least: float) -> Da
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
-        for x in batches:
-            new = [not (k in met or met.add(k)) for k in x.column(0).to_pylist()]
-            x = x.filter(pa.array(new, pa.bool_()))
+        for x in slices(batches, 2048):
+            x = x.filter(pa.array([not (k in met or met.add(k)) for k in x.column(0).to_pylist()], pa.bool_()))
             yield pa.RecordBatch.from_arrays([x.column(0), pa.array([s.tobytes() for s in shingle_sets(*text_buffer(x.column(1)), words)], pa.binary())], names=["node", "s"])
 
-    have = texts.join(asked, "node").select("node", "t").mapInArrow(sets, "node long, s binary").groupBy("node").agg(F.min("s").alias("s")).checkpoint()
+    have = stored(texts.join(asked, "node").select("node", "t").mapInArrow(sets, "node long, s binary").groupBy("node").agg(F.first("s").alias("s")))
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
+        for x in slices(batches, 2048):
             keep = []
             for p, q in zip(x.column(2).to_pylist(), x.column(3).to_pylist(), strict=True):
-                u, v = np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)
-                both = len(np.intersect1d(u, v, assume_unique=True)) if min(len(u), len(v)) >= least * max(len(u), len(v)) else 0
-                keep.append(both >= least * (len(u) + len(v) - both) and both > 0)
+                u, v = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+                both = len(np.intersect1d(u, v, assume_unique=True))
+                keep.append(both > 0 and both >= least * (len(u) + len(v) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     pairs = found.join(have.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(have.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     return pairs.select("a", "b", "sa", "sb").mapInArrow(alike, "a long, b long").checkpoint()
 
 
+def _one_each(pairs: DataFrame) -> DataFrame:
+    """One pair for each node that has a smaller partner."""
+    return pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").checkpoint()
+
+
 def similar_groups(df: DataFrame, text_col: str, words: int = 5, least: float = 0.8) -> DataFrame:
     """(node, root) of texts that have links; a text's node is xxhash64 of it, null as empty.
 
@@ -317,39 +402,38 @@ def similar_groups(df: DataFrame, text_col: str, words: int = 5, least: float =
     ensure_checkpoint_dir(df.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = df.select(F.xxhash64(text).alias("node"), text.alias("t"))
-
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[int] = set()
-        for x in batches:
-            # Copies within a task are one node.
-            new = [not (k in met or met.add(k)) for k in x.column(0).to_pylist()]
-            x = x.filter(pa.array(new, pa.bool_()))
-            fps = word_prints(*text_buffer(x.column(1)))
-            some = fps.any(1)
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(fps[some].view(np.int64).ravel()), SEEDS).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([x.column(0).filter(pa.array(some)), lists], names=["node", "fps"])
-
-    found = candidate_pairs(texts.mapInArrow(prints, "node long, fps array<long>").groupBy("node").agg(F.min("fps").alias("fps"))).checkpoint()
-    some = verified(texts, found, words, least)
-    rest = complete_pairs(texts, components(some, "a", "b"), words, least).checkpoint()
-    links = some.union(verified(texts, rest, words, least))
-    return components(links, "a", "b")
+    sketched = stored(sketches(texts, words, least))
+    links = verified(texts, _one_each(map_filtered(candidate_pairs(sketched), sketched, least)), words, least)
+    rest = map_filtered(complete_pairs(sketched, components(links, "a", "b"), least), sketched, least).checkpoint()
+    # One pair of each text joins most of what is left; the pairs that are still apart are verified all.
+    links = links.union(verified(texts, _one_each(rest), words, least))
+    groups = components(links, "a", "b").checkpoint()
+    of = lambda c: groups.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    apart = rest.join(of("a"), "a", "left").join(of("b"), "b", "left").where("ra is null or rb is null or ra <> rb").select("a", "b").checkpoint()
+    if apart.isEmpty():
+        return groups
+    more = verified(texts, apart, words, least)
+    return groups if more.isEmpty() else components(links.union(more), "a", "b")
 
 
 def one_of_each(df: DataFrame, id_col: str, text_col: str, words: int = 5, least: float = 0.8) -> DataFrame:
     """df with one row of each group of equal or similar texts: the one with the smallest id.
 
     Of rows that share that id and group one stays. Rows with a null id stay only where a group has no
-    other. Wordless and null texts are copies only of their equals.
+    other. Wordless and null texts are copies only of their equals. Two texts are equal if two 64-bit
+    hashes of them agree; of different texts that share the first, one has links and the others stay.
     """
-    node = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    # An id's key is never null, so the join and the numbering after it share one shuffle of the rows.
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    node, other = F.xxhash64(text).alias("node"), F.xxhash64(F.lit(1), text).alias("other")
+    # An id's key is never null, so the join and the numbering before it share one shuffle of the rows.
     key = lambda c: F.coalesce(F.concat(F.lit("k"), F.col(c).cast("string")), F.lit("null")).alias("key")
-    x = df.select(F.struct("*").alias("row"), node.alias("node"), key(id_col))
     groups = similar_groups(df, text_col, words, least)
-    member = df.select(node.alias("node"), F.col(id_col).alias("id")).groupBy("node").agg(F.min("id").alias("id"))
-    first = member.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node")).groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("f"))
-    chosen = first.select("f.node", "f.id").select("node", key("id"))
-    # Repeated rows of the chosen id; its texts are equal, so any of them is the row.
-    nth = F.row_number().over(Window.partitionBy("node", "key").orderBy(F.xxhash64("row")))
-    return x.join(chosen, ["node", "key"], "left_semi").withColumn("nth", nth).where("nth = 1").select("row.*")
+    member = df.select(node, other, F.col(id_col).alias("id")).groupBy("node", "other").agg(F.min("id").alias("id"))
+    member = member.withColumn("linked", F.col("other") == F.min("other").over(Window.partitionBy("node")))
+    rooted = member.join(groups, "node", "left").select("node", "other", "id", F.coalesce("root", "node").alias("root"), F.when(~F.col("linked"), F.col("other")).alias("apart"))
+    first = rooted.groupBy("root", "apart").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node", "other")).alias("f"))
+    chosen = first.select("f.node", "f.other", "f.id").select("node", "other", key("id"))
+    # Repeated rows of an id and text are numbered before the join, so that copies go where they are read.
+    nth = F.row_number().over(Window.partitionBy("node", "other", "key").orderBy(F.xxhash64("row")))
+    x = df.select(F.struct("*").alias("row"), node, other, key(id_col)).withColumn("nth", nth).where("nth = 1")
+    return x.join(chosen, ["node", "other", "key"], "left_semi").select("row.*")

@@ -234,6 +234,42 @@ def test_similar_texts_with_a_block_more(spark):
     assert kept_of(spark, texts) == want
 
 
+def test_similar_texts_of_one_large_group(spark):
+    """Hundreds of different near copies of two texts, many of them similar to few others only, against all pairs."""
+    rng = random.Random(11)
+    texts = []
+    for n, edits in ((260, 6), (90, 9)):
+        base = [f"g{rng.randrange(10**6)}" for _ in range(150)]
+        for _ in range(n):
+            w = base[:]
+            for i in rng.sample(range(len(w)), rng.randrange(1, edits)):
+                w[i] = f"e{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    want = similar_by_hand(texts)
+    assert 2 < len(want) < 350
+    assert kept_of(spark, texts) == want
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 2**64 - 1), max_size=40, unique=True), st.lists(st.integers(0, 2**64 - 1), max_size=40, unique=True), st.integers(0, 30))
+def test_parity_maps_differ_in_no_more_bits_than_sets(a, b, shared):
+    a = a + b[:shared]
+    x, y = (np.unique(np.array(s, np.uint64)) for s in (a, b))
+    m = similar.parity_maps([x, y])
+    assert np.bitwise_count(m[0] ^ m[1]).sum() <= len(set(x.tolist()) ^ set(y.tolist()))
+
+
+def test_partners_of_a_posting(monkeypatch):
+    """Each fingerprint with a near one before it gets one such, in blocks as well."""
+    monkeypatch.setattr(similar, "BLOCK", 16)
+    rng = random.Random(3)
+    fp = np.unique(np.array([sum(1 << b for b in rng.sample(range(12), rng.randrange(7))) for _ in range(150)], np.uint64))
+    i, j = similar._partners(fp)
+    near = [[(int(x) ^ int(y)).bit_count() <= 3 for x in fp] for y in fp]
+    assert all(near[a][b] and a < b for a, b in zip(i.tolist(), j.tolist(), strict=True))
+    assert sorted(j.tolist()) == [b for b in range(len(fp)) if any(near[a][b] for a in range(b))]
+
+
 # 4 SentencePiece
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
