@@ -154,9 +154,8 @@ def _first(s: np.ndarray, order: tuple[np.ndarray, np.ndarray], least: float) ->
     return key[np.argsort(np.where(k[at] == key, n[at], 0), kind="stable")[:m]]
 
 
-def sketches(texts: DataFrame, words: int, least: float) -> DataFrame:
+def sketches(texts: DataFrame, words: int, least: float, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(node, fps, size, firsts, bits) of each distinct text (node, t) with words: fingerprints, shingles, first keys, parity map."""
-    order = shingle_order(texts, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
@@ -281,24 +280,36 @@ def _pairs_of_shingles(k: np.ndarray, size: np.ndarray, rest: np.ndarray, root:
                 yield u[i], v[j]
 
 
-def complete_pairs(sketched: DataFrame, groups: DataFrame, least: float) -> DataFrame:
+def _maps_allow(maps: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
+    """Whether the parity maps of sets i and j differ in no more bits than sets of similarity `least` do."""
+    differ = np.concatenate([np.zeros(0, np.int64), *(np.bitwise_count(maps[i[a : a + BLOCK]] ^ maps[j[a : a + BLOCK]]).sum(1, dtype=np.int64) for a in range(0, len(i), BLOCK))])
+    return differ * (1 + least) <= (1 - least) * (size[i].astype(np.int64) + size[j]) + 1e-6
+
+
+def complete_pairs(sketched: DataFrame, groups: DataFrame, least: float, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(a, b): every pair of texts of similarity `least` or more that groups (node, root) do not join, and others.
 
-    Postings travel packed: a batch sends each task one row with all that it posts there.
+    Postings travel packed: a batch sends each task one row with all that it posts there. Texts posted under
+    keys of the order, the frequent ones, bring their parity maps, so that pairs of a long posting are let go
+    where they meet.
     """
     n = int(sketched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = sketched.agg(F.sum(F.length("firsts"))).first()[0] or 0
     parts = max(n, -(-total // (4 * TASK_POSTINGS)))
-    rooted = sketched.select("node", "size", "firsts").join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", "firsts")
+    rooted = sketched.select("node", "size", "firsts", "bits").join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", "firsts", "bits")
+    names = ["k", "nth", "of", "node", "root", "size", "mapped", "maps"]
+    kinds = [np.uint32, np.uint32, np.uint32, np.int64, np.int64, np.int32, np.bool_, np.uint64]
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
+        for x in slices(batches, 4096):
             firsts = [np.frombuffer(b, np.uint32) for b in x.column(3).to_pylist()]
             n = np.array([len(b) for b in firsts], np.int64)
             if not len(n):
                 continue
             node, root, size = (x.column(i).to_numpy() for i in range(3))
+            maps = np.frombuffer(b"".join(x.column(4).to_pylist()), np.uint64).reshape(len(n), -1)
             k = np.concatenate(firsts)
+            frequent = np.isin(k, order[0])
             doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
             nth = (np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)).astype(np.uint32)
             part = k % np.uint32(parts)
@@ -308,13 +319,14 @@ def complete_pairs(sketched: DataFrame, groups: DataFrame, least: float) -> Data
             for p in np.flatnonzero(np.diff(cuts)).tolist():
                 at = by[cuts[p] : cuts[p + 1]]
                 mine, of = np.unique(doc[at], return_inverse=True)
-                out.append((p, *(c.tobytes() for c in (k[at], nth[at], of.astype(np.uint32), node[mine], root[mine], size[mine]))))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int32() if i == 0 else pa.binary()) for i in range(7)], names=["p", "k", "nth", "of", "node", "root", "size"])
+                mapped = np.zeros(len(mine), bool)
+                mapped[of[frequent[at]]] = True
+                out.append((p, *(c.tobytes() for c in (k[at], nth[at], of.astype(np.uint32), node[mine], root[mine], size[mine], mapped, maps[mine[mapped]]))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int32() if i == 0 else pa.binary()) for i in range(len(names) + 1)], names=["p", *names])
 
-    packed = rooted.mapInArrow(post, "p int, k binary, nth binary, of binary, node binary, root binary, size binary")
+    packed = rooted.mapInArrow(post, "p int, " + ", ".join(f"{c} binary" for c in names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (np.uint32, np.uint32, np.uint32, np.int64, np.int64, np.int32)
         held: list[list[np.ndarray]] = [[] for _ in kinds]
         texts = 0
         for x in batches:
@@ -326,16 +338,23 @@ def complete_pairs(sketched: DataFrame, groups: DataFrame, least: float) -> Data
                     c.append(v)
         if not texts:
             return
-        k, nth, of, node, root, size = (np.concatenate(c) for c in held)
+        k, nth, of, node, root, size, mapped, maps = (np.concatenate(c) for c in held)
         held.clear()
+        maps = maps.reshape(-1, MAP_BITS // 64)
+        place = np.where(mapped, np.cumsum(mapped) - 1, 0)
         by = np.argsort(k, kind="stable")
         k, nth, of = k[by], nth[by], of[by]
         many = size[of].astype(np.int64)
         pairs, waiting = [], 0
         for i, j in _pairs_of_shingles(k, many, many - nth, root[of], least):
-            if len(i):
-                pairs.append((node[of[i]], node[of[j]]))
-                waiting += len(i)
+            i, j = of[i], of[j]
+            both = mapped[i] & mapped[j]
+            at = np.flatnonzero(both)
+            both[at] = _maps_allow(maps, size[mapped], place[i[at]], place[j[at]], least)
+            both |= ~(mapped[i] & mapped[j])
+            if both.any():
+                pairs.append((node[i[both]], node[j[both]]))
+                waiting += int(both.sum())
             if waiting >= HELD_PAIRS:
                 yield _pair_rows(*(np.concatenate(c) for c in zip(*pairs, strict=True)))
                 pairs, waiting = [], 0
@@ -351,13 +370,14 @@ def map_filtered(pairs: DataFrame, sketched: DataFrame, least: float) -> DataFra
     met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ma", "mb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
+        for x in slices(batches, 4096):
             if not x.num_rows:
                 continue
-            p, q = x.column(2).to_numpy().astype(np.int64), x.column(3).to_numpy().astype(np.int64)
-            u, v = (np.frombuffer(b"".join(x.column(i).to_pylist()), np.uint64).reshape(x.num_rows, -1) for i in (4, 5))
-            differ = np.bitwise_count(u ^ v).sum(1, dtype=np.int64)
-            ok = (differ * (1 + least) <= (1 - least) * (p + q) + 1e-6) & (np.minimum(p, q) >= least * np.maximum(p, q) - 1e-9)
+            n = x.num_rows
+            size = np.concatenate([x.column(i).to_numpy() for i in (2, 3)])
+            maps = np.frombuffer(b"".join(x.column(4).to_pylist() + x.column(5).to_pylist()), np.uint64).reshape(2 * n, -1)
+            at = np.arange(n)
+            ok = _maps_allow(maps, size, at, at + n, least) & (np.minimum(size[:n], size[n:]) >= least * np.maximum(size[:n], size[n:]) - 1e-9)
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
     return met.mapInArrow(run, "a long, b long")
@@ -402,9 +422,10 @@ def similar_groups(df: DataFrame, text_col: str, words: int = 5, least: float =
     ensure_checkpoint_dir(df.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = df.select(F.xxhash64(text).alias("node"), text.alias("t"))
-    sketched = stored(sketches(texts, words, least))
+    order = shingle_order(texts, words)
+    sketched = stored(sketches(texts, words, least, order))
     links = verified(texts, _one_each(map_filtered(candidate_pairs(sketched), sketched, least)), words, least)
-    rest = map_filtered(complete_pairs(sketched, components(links, "a", "b"), least), sketched, least).checkpoint()
+    rest = map_filtered(complete_pairs(sketched, components(links, "a", "b"), least, order), sketched, least).checkpoint()
     # One pair of each text joins most of what is left; the pairs that are still apart are verified all.
     links = links.union(verified(texts, _one_each(rest), words, least))
     groups = components(links, "a", "b").checkpoint()
