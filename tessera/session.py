@@ -27,22 +27,31 @@ def local_session(app: str = "tessera", cores: str | int = "*", memory: str = "8
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; a temporary one only where none is configured."""
+    """The shared checkpoint folder of the session; a temporary one only where none is configured and all runs on one machine."""
     sc = spark.sparkContext
     at = sc.getCheckpointDir()
     if at is None:
-        at = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tessera-checkpoints")
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if at is None and not sc.master.startswith("local["):
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that the driver and all executors share")
+        at = at or os.path.join(tempfile.gettempdir(), "tessera-checkpoints")
         sc.setCheckpointDir(at)
     return at
 
 
 def make_importable(spark: SparkSession) -> SparkSession:
-    """The session, with this package's folder on its Python workers' path; where a cluster installs it, that changes nothing."""
+    """The session, with this package's folder on its Python workers' path; where a cluster installs it, that changes nothing.
+
+    Workers that start later also give freed arrays of a megabyte and more back to the system at once, so that
+    what one stage needed is not held through the next.
+    """
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+    for knob in ("MALLOC_MMAP_THRESHOLD_", "MALLOC_TRIM_THRESHOLD_"):
+        env.setdefault(knob, str(1 << 20))
     return spark
 
 
