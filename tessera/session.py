@@ -32,7 +32,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     at = sc.getCheckpointDir()
     if at is None:
         at = spark.conf.get("spark.checkpoint.dir", None)
-        if at is None and not sc.master.startswith("local["):
+        if at is None and sc.master.split("[")[0] != "local":
             raise ValueError("a cluster needs spark.checkpoint.dir, a folder that the driver and all executors share")
         at = at or os.path.join(tempfile.gettempdir(), "tessera-checkpoints")
         sc.setCheckpointDir(at)
