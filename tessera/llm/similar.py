@@ -40,6 +40,8 @@ SHORT_RUN = 32
 MAP_BITS = 2048
 #: Wanted postings of one task of the complete index.
 TASK_POSTINGS = 2_000_000
+#: Asked texts of a verification that are sent to all tasks, at 8 bytes each; more are joined by a shuffle of the texts.
+SENT_NODES = 2_000_000
 #: Pairs that a task gathers before it gives the distinct ones on.
 HELD_PAIRS = 1 << 20
 
@@ -298,7 +300,8 @@ def complete_pairs(sketched: DataFrame, groups: DataFrame, least: float, order:
     parts = max(n, -(-total // (4 * TASK_POSTINGS)))
     rooted = sketched.select("node", "size", "firsts", "bits").join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", "firsts", "bits")
     names = ["k", "nth", "of", "node", "root", "size", "mapped", "maps"]
-    kinds = [np.uint32, np.uint32, np.uint32, np.int64, np.int64, np.int32, np.bool_, np.uint64]
+    # A place beyond 16 bits counts as the last of them, which lets more pairs pass and none go.
+    kinds = [np.uint32, np.uint16, np.uint16, np.int64, np.int64, np.int32, np.bool_, np.uint64]
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in slices(batches, 4096):
@@ -311,7 +314,7 @@ def complete_pairs(sketched: DataFrame, groups: DataFrame, least: float, order:
             k = np.concatenate(firsts)
             frequent = np.isin(k, order[0])
             doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
-            nth = (np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)).astype(np.uint32)
+            nth = (np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)).clip(max=65535).astype(np.uint16)
             part = k % np.uint32(parts)
             by = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[by], np.arange(parts + 1))
@@ -321,7 +324,7 @@ def complete_pairs(sketched: DataFrame, groups: DataFrame, least: float, order:
                 mine, of = np.unique(doc[at], return_inverse=True)
                 mapped = np.zeros(len(mine), bool)
                 mapped[of[frequent[at]]] = True
-                out.append((p, *(c.tobytes() for c in (k[at], nth[at], of.astype(np.uint32), node[mine], root[mine], size[mine], mapped, maps[mine[mapped]]))))
+                out.append((p, *(c.tobytes() for c in (k[at], nth[at], of.astype(np.uint16), node[mine], root[mine], size[mine], mapped, maps[mine[mapped]]))))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int32() if i == 0 else pa.binary()) for i in range(len(names) + 1)], names=["p", *names])
 
     packed = rooted.mapInArrow(post, "p int, " + ", ".join(f"{c} binary" for c in names))
@@ -332,7 +335,7 @@ def complete_pairs(sketched: DataFrame, groups: DataFrame, least: float, order:
         for x in batches:
             for row in zip(*(c.to_pylist() for c in x.columns[1:]), strict=True):
                 one = [np.frombuffer(b, t) for b, t in zip(row, kinds, strict=True)]
-                one[2] = one[2] + np.uint32(texts)
+                one[2] = one[2].astype(np.int64) + texts
                 texts += len(one[3])
                 for c, v in zip(held, one, strict=True):
                     c.append(v)
@@ -385,7 +388,9 @@ def map_filtered(pairs: DataFrame, sketched: DataFrame, least: float) -> DataFra
 
 def verified(texts: DataFrame, found: DataFrame, words: int, least: float) -> DataFrame:
     """The pairs (a, b) of texts (node, t) whose shingle sets have Jaccard similarity `least` or more."""
-    asked = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    asked = found.select(F.explode(F.array("a", "b")).alias("node")).distinct().checkpoint()
+    if asked.count() <= SENT_NODES:
+        asked = F.broadcast(asked)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()

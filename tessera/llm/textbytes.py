@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes that one vectorised step handles. A text longer than this is a step of its own.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
