@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from ..session import ensure_checkpoint_dir, stored
-from .simhash import BLOCK, _LOWER, _SPACES, _SPREAD, _octets, tallied
+from .simhash import _LOWER, _SPACES, _SPREAD, _octets, tallied
 from .textbytes import slices, steps, text_buffer
 from .xxh64 import xxh64_ranges
 
@@ -36,6 +36,8 @@ MOST_BITS, LEAST_BYTES = 3, 5
 SAMPLE, SEEN, FREQUENT = 16, 3, 200_000
 #: Runs of a shingle with up to so many texts are met by shifted comparison, all at once.
 SHORT_RUN = 32
+#: Texts of one posting that are compared at once with as many others.
+BLOCK = 512
 #: Bits of a set's parity map.
 MAP_BITS = 2048
 #: Wanted postings of one task of the complete index.
@@ -43,7 +45,7 @@ TASK_POSTINGS = 2_000_000
 #: Asked texts of a verification that are sent to all tasks, at 8 bytes each; more are joined by a shuffle of the texts.
 SENT_NODES = 2_000_000
 #: Pairs that a task gathers before it gives the distinct ones on.
-HELD_PAIRS = 1 << 20
+HELD_PAIRS = 1 << 18
 
 _SEEDS = [np.uint64((0x9E3779B97F4A7C15 * s) & (2**64 - 1)) for s in range(1, SEEDS + 1)]
 
@@ -272,9 +274,9 @@ def _pairs_of_shingles(k: np.ndarray, size: np.ndarray, rest: np.ndarray, root:
         if (root[h : h + m] == root[h]).all():
             continue
         run = h + np.argsort(size[h : h + m], kind="stable")
-        for a in range(0, m, BLOCK // 2):
-            for b in range(a, m, BLOCK // 2):
-                u, v = run[a : a + BLOCK // 2], run[b : b + BLOCK // 2]
+        for a in range(0, m, BLOCK):
+            for b in range(a, m, BLOCK):
+                u, v = run[a : a + BLOCK], run[b : b + BLOCK]
                 if size[u[-1]] < least * size[v[0]] - 1e-9:
                     break
                 near = _may_be_alike(size, rest, root, u[:, None], v[None, :], least)
