@@ -42,7 +42,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def make_importable(spark: SparkSession) -> SparkSession:
     """The session, with this package's folder on its Python workers' path; where a cluster installs it, that changes nothing.
 
-    Workers that start later also give freed arrays of a megabyte and more back to the system at once, so that
+    Workers that start later also give freed arrays of 8 MB and more back to the system at once, so that
     what one stage needed is not held through the next.
     """
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -51,7 +51,7 @@ def make_importable(spark: SparkSession) -> SparkSession:
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, root])
     for knob in ("MALLOC_MMAP_THRESHOLD_", "MALLOC_TRIM_THRESHOLD_"):
-        env.setdefault(knob, str(1 << 20))
+        env.setdefault(knob, str(1 << 23))
     return spark
 
 
