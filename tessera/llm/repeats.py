@@ -193,9 +193,10 @@ class Transform:
         order = np.argsort(rank, kind="stable")
         place = np.empty(len(at), np.int64)
         place[order] = np.arange(len(at))
-        self.start = at[order]
+        # A shard is far below 2^31 bytes.
+        self.start = at[order].astype(np.int32)
         self.symbol = symbol[order]
-        self.next = np.where(ahead[order] >= 0, place[ahead[order]], -1)
+        self.next = np.where(ahead[order] >= 0, place[ahead[order]], -1).astype(np.int32)
 
 
 def merge(shards: list[Transform], rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -208,9 +209,11 @@ def merge(shards: list[Transform], rounds: int) -> tuple[np.ndarray, np.ndarray,
     if not n:
         return (np.zeros(0, np.int64),) * 3
     # Places and numbers are kept in 32 bits; a group is far below 2^31 entries.
-    symbol = np.unique(np.concatenate([s.symbol for s in shards]), return_inverse=True)[1].astype(np.int32)
     base = np.cumsum([0, *(len(s.start) for s in shards)])
-    ahead = np.concatenate([np.where(s.next >= 0, s.next + b, -1).astype(np.int32) for s, b in zip(shards, base, strict=False)])
+    ahead = np.concatenate([np.where(s.next >= 0, s.next + np.int32(b), np.int32(-1)) for s, b in zip(shards, base.tolist(), strict=False)])
+    hashed = np.concatenate([s.symbol for s in shards])
+    symbol = np.searchsorted(np.unique(hashed), hashed).astype(np.int32)
+    del hashed
     place, block_of = np.arange(n, dtype=np.int32), np.zeros(n, np.int32)
 
     def keys(of_next: np.ndarray) -> np.ndarray:
@@ -254,8 +257,9 @@ def repeated_starts(pieces: list[bytes], weights: list[int], length: int) -> lis
             held, size = [], 0
         held.append(k)
         size += len(p)
-    start = np.concatenate([s.start + f for s, f in zip(shards, froms, strict=True)])
+    start = np.concatenate([s.start + int(f) for s, f in zip(shards, froms, strict=True)])
     order, number, common = merge(shards, rounds)
+    del shards
     start = start[order]
     piece = np.searchsorted(bounds, start, "right") - 1
     weight = np.asarray(weights)[piece]
@@ -343,7 +347,7 @@ def _merged(partition_col: str, pieces: DataFrame, length: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["tkey", "tlen", "lo", "hi"])
 
-        for x in batches:
+        for x in slices(batches):
             for g, key, size, lo, w, anchor, place, p in zip(*(c.to_pylist() for c in x.columns), strict=True):
                 if g != group and held:
                     yield from settle()

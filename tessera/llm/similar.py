@@ -400,7 +400,8 @@ def verified(texts: DataFrame, found: DataFrame, words: int, least: float) -> Da
             x = x.filter(pa.array([not (k in met or met.add(k)) for k in x.column(0).to_pylist()], pa.bool_()))
             yield pa.RecordBatch.from_arrays([x.column(0), pa.array([s.tobytes() for s in shingle_sets(*text_buffer(x.column(1)), words)], pa.binary())], names=["node", "s"])
 
-    have = stored(texts.join(asked, "node").select("node", "t").mapInArrow(sets, "node long, s binary").groupBy("node").agg(F.first("s").alias("s")))
+    # Both sides of the pairs read one shuffle of these rows, which lies by node.
+    have = texts.join(asked, "node").select("node", "t").mapInArrow(sets, "node long, s binary").groupBy("node").agg(F.first("s").alias("s"))
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in slices(batches, 2048):
