@@ -206,8 +206,8 @@ def connected(entities: DataFrame, relations: DataFrame) -> DataFrame:
 def label_propagation(edges: DataFrame, rounds: int = 20) -> DataFrame:
     """(id, label) after at most so many synchronous rounds over consolidated edges (u, v, weight).
 
-    A node takes the label of most weight among its neighbours, ties by smallest label, and keeps its own
-    when that is among the best. Two-cycles of the synchronous rule end at the round limit.
+    A node takes the label of most weight among its neighbours, ties by smallest label. Two-cycles of the
+    synchronous rule end at the round limit.
     """
     ensure_checkpoint_dir(edges.sparkSession)
     both = edges.select(F.col("u").alias("id"), F.col("v").alias("by"), "weight").union(edges.select("v", "u", "weight"))
@@ -215,7 +215,7 @@ def label_propagation(edges: DataFrame, rounds: int = 20) -> DataFrame:
     for _ in range(rounds):
         votes = both.join(now.select(F.col("id").alias("by"), "label"), "by").groupBy("id", "label").agg(F.sum("weight").alias("w"))
         votes = votes.join(now.select("id", F.col("label").alias("own")), "id")
-        order = [F.desc("w"), F.desc(F.col("label") == F.col("own")), F.asc("label")]
+        order = [F.desc("w"), F.asc("label")]
         best = votes.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy(*order))).where("nth = 1")
         new = best.select("id", "label", (F.col("label") != F.col("own")).alias("moved")).checkpoint()
         now = new.drop("moved")

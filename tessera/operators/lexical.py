@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..session import ensure_checkpoint_dir
 
 K1, B = 1.2, 0.75
+#: Distinct query terms that are looked for row by row.
+QUERY_TERMS = 256
 
 
 def term_frequencies(chunks: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -35,16 +38,27 @@ def score(tf: Column, length: Column, df: Column, n: Column, average: Column) ->
 def bm25(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(query_id, rank, id, score): the k best chunks of each query, ties by id; rank counts from 1.
 
-    queries: query_id, query. A term that a query repeats counts again. Chunks are scanned once: only
-    tokens that some query has become postings, and statistics are one row.
+    queries: query_id, query. A term that a query repeats counts again. Texts are read and tokenised once:
+    of each chunk its length and its tokens that some query has are kept, which statistics and postings
+    then share. Up to QUERY_TERMS distinct query terms are looked for in the row; more, by a join.
     """
+    ensure_checkpoint_dir(chunks.sparkSession)
     q = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    x = chunks.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("tokens"))
-    x = x.select("id", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
     wanted = q.select("term").distinct()
-    postings = x.join(wanted, "term", "left_semi").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    some = [r.term for r in wanted.limit(QUERY_TERMS + 1).collect()]
+    x = chunks.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("tokens"))
+    if len(some) <= QUERY_TERMS:
+        asked = F.array(*[F.lit(t) for t in sorted(some)]).cast("array<string>")
+        x = x.select("id", F.size("tokens").alias("len"), F.filter("tokens", lambda t: F.array_contains(asked, t)).alias("terms")).checkpoint()
+        met = x.select("id", "len", F.explode("terms").alias("term"))
+    else:
+        x = x.select("id", F.size("tokens").alias("len"), "tokens").checkpoint()
+        met = x.select("id", "len", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
+    stats = x.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+    postings = met.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    scored = postings.join(df, "term").join(q, "term").crossJoin(F.broadcast(corpus_stats(chunks, text_col)))
+    # One row of statistics.
+    scored = postings.join(df, "term").join(q, "term").crossJoin(F.broadcast(stats))
     scored = scored.groupBy("query_id", "id").agg(F.sum(F.col("times") * score(F.col("tf"), F.col("len"), F.col("df"), F.col("n"), F.col("avg_len"))).alias("score"))
     return ranked(scored, k)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import phrases as P
@@ -84,13 +84,17 @@ def report_compare(spark: SparkSession, at: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, at: str) -> DataFrame:
-    """Each benchmark item with the documents of a few ids that follow from its own."""
-    b = table(spark, at, "benchmark").select("item_id", F.col("text").alias("fact"), F.explode(F.sequence(F.lit(0), F.lit(19))).alias("k"))
-    d = table(spark, at, "documents").select(F.col("doc_id"), F.col("text").alias("answer"))
-    return b.withColumn("doc_id", F.col("item_id") * 20 + F.col("k")).join(d, "doc_id")
+    """Every document with one benchmark item, dealt by its number."""
+    items = table(spark, at, "benchmark")
+    n = items.agg(F.greatest(F.count("*"), F.lit(1)).alias("n"))
+    b = items.select("item_id", F.col("text").alias("fact"), F.row_number().over(Window.orderBy("item_id")).cast("long").alias("nth"))
+    d = table(spark, at, "documents").select("doc_id", F.col("text").alias("answer"))
+    # One row that holds the number of items.
+    d = d.crossJoin(F.broadcast(n)).withColumn("nth", F.col("doc_id") % F.col("n") + 1)
+    return d.join(b, "nth").select("item_id", "doc_id", "fact", "answer")
 
 
-_PAIRS = "pairs as (select item_id, doc_id, b.text as fact, d.text as answer from benchmark b, documents d where doc_id between item_id * 20 and item_id * 20 + 19)"
+_PAIRS = "items as (select item_id, text, row_number() over (order by item_id) - 1 as nth from benchmark), pairs as (select item_id, doc_id, b.text as fact, d.text as answer from documents d join items b on d.doc_id % (select count(*) from benchmark) = b.nth)"
 
 
 @R.query(f"with {_PAIRS}, t as (select item_id, doc_id, {_TOK.format(x='answer')} as w, {_TOK.format(x='fact')}[1:3] as p from pairs) select item_id, doc_id, len(list_filter(range(1, greatest(len(w) - len(p) + 2, 1)), lambda i: w[i:i + len(p) - 1] = p)) > 0 as found from t")

@@ -33,11 +33,11 @@ def _relations(lines: DataFrame) -> DataFrame:
 
 
 def _trade(spark: SparkSession, at: str) -> DataFrame:
-    """The relations of a seventh of the orders, as TRADE has them."""
-    return _relations(table(spark, at, "lineitem").where("l_orderkey % 7 = 0"))
+    """The relations of all order lines, as TRADE has them."""
+    return _relations(table(spark, at, "lineitem"))
 
 
-TRADE = "trade as (select l_orderkey || '-' || l_linenumber as id, 'p' || l_partkey as src, 's' || l_suppkey as dst, l_returnflag as type, l_quantity as weight from lineitem where l_orderkey % 7 = 0)"
+TRADE = "trade as (select l_orderkey || '-' || l_linenumber as id, 'p' || l_partkey as src, 's' || l_suppkey as dst, l_returnflag as type, l_quantity as weight from lineitem)"
 
 
 @R.query(f"with {FACTS} select id, src, dst from facts where valid_from <= timestamp '2024-01-15 00:00:00' and (valid_to is null or valid_to > timestamp '2024-01-15 00:00:00')")
@@ -125,12 +125,13 @@ def edge_groups(spark: SparkSession, at: str) -> DataFrame:
     return G.edge_groups(_facts(spark, at), F.lit("u7"), 5).select("type", "neighbour", "nth", "total")
 
 
-_COMP = "links as (select distinct 'o' || (o_orderkey % 3000) as a, 'o' || ((o_orderkey * 7) % 3000) as b from orders where o_orderkey % 5 = 0)"
+_COMP = "links as (select distinct 'c' || o_custkey as a, 'o' || o_orderkey as b from orders)"
 
 
 def _links(spark: SparkSession, at: str) -> DataFrame:
-    o = table(spark, at, "orders").where("o_orderkey % 5 = 0")
-    return o.select(F.concat(F.lit("o"), (F.col("o_orderkey") % 3000).cast("string")).alias("src"), F.concat(F.lit("o"), ((F.col("o_orderkey") * 7) % 3000).cast("string")).alias("dst")).distinct()
+    """Each customer with each of its orders."""
+    o = table(spark, at, "orders")
+    return o.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("dst")).distinct()
 
 
 @R.query(f"with recursive {_COMP}, both_ways as (select a, b from links union select b, a from links), nodes as (select distinct a as id from both_ways), reach as (select id, id as r from nodes union select r.id, e.b from reach r join both_ways e on e.a = r.r) select id, min(r) as component from reach group by id")
@@ -140,10 +141,18 @@ def connected_components(spark: SparkSession, at: str) -> DataFrame:
     return G.connected(ids, x)
 
 
-@R.query()
+def _label_sql(rounds: int = 20) -> str:
+    """The synchronous rounds written out; a round that changes nothing leaves all that follow alike."""
+    edges = "select least(src, dst) as u, greatest(src, dst) as v, sum(case when weight <= 0 then 1 else weight end) as weight from trade where src <> dst group by all"
+    steps = [f"with {TRADE}, e as materialized ({edges}), b as materialized (select u as id, v as n, weight from e union all select v, u, weight from e), l0 as (select distinct id, id as label from b)"]
+    for k in range(rounds):
+        steps.append(f"l{k + 1} as materialized (select id, label from (select b.id, l.label, sum(weight) as w from b join l{k} l on l.id = b.n group by all) qualify row_number() over (partition by id order by w desc, label) = 1)")
+    return ", ".join(steps) + f" select id, label from l{rounds}"
+
+
+@R.query(_label_sql())
 def label_propagation(spark: SparkSession, at: str) -> DataFrame:
-    """Labels depend on the synchronous schedule; their properties are tested instead."""
-    return G.label_propagation(G.consolidated_edges(_relations(table(spark, at, "lineitem"))))
+    return G.label_propagation(G.consolidated_edges(_trade(spark, at)))
 
 
 @R.query()
@@ -156,22 +165,22 @@ def louvain_communities(spark: SparkSession, at: str) -> DataFrame:
 
 
 @R.query("""with t as (select p_partkey, regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}]+') as w from part),
-grams as (select p_partkey as query_id, unnest(flatten(list_transform(range(1, 5), lambda n: list_transform(range(1, greatest(len(w) - n + 2, 1)), lambda i: array_to_string(w[i:i + n - 1], ' '))))) as k from t where p_partkey % 20 = 0),
+grams as (select p_partkey as query_id, unnest(flatten(list_transform(range(1, 5), lambda n: list_transform(range(1, greatest(len(w) - n + 2, 1)), lambda i: array_to_string(w[i:i + n - 1], ' '))))) as k from t),
 names as (select distinct p_brand as name from part union select distinct p_name from part)
 select distinct query_id, name as id from grams join names on lower(trim(name)) = k""")
 def entity_link_ngrams(spark: SparkSession, at: str) -> DataFrame:
     p = table(spark, at, "part")
     names = p.select(F.col("p_brand").alias("name")).union(p.select("p_name")).distinct().select("name", F.col("name").alias("id"))
-    return G.link_entities(p.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("query")), names)
+    return G.link_entities(p.select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("query")), names)
 
 
-@R.query("""with w as (select doc_id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as w from documents), m as (select doc_id, unnest(w) as entity from w where len(w) < 2000),
+@R.query("""with w as (select doc_id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as w from documents), m as (select doc_id, unnest(w) as entity from w),
 mine as (select distinct entity from m where doc_id = 1 and length(entity) > 6) select cast(doc_id as varchar) as id, count(distinct entity) as shared from m join mine using (entity) where doc_id <> 1 group by doc_id having count(distinct entity) >= 2""")
 def blast_radius(spark: SparkSession, at: str) -> DataFrame:
     from ..functions.text import tokens
 
     d = table(spark, at, "documents")
-    words = d.select("doc_id", F.array_distinct(tokens(F.col("text"))).alias("w")).where(F.size("w") < 2000)
+    words = d.select("doc_id", F.array_distinct(tokens(F.col("text"))).alias("w"))
     m = words.select("doc_id", F.explode("w").alias("id"))
     touched = m.where("doc_id = 1").where(F.length("id") > 6).select("id").distinct()
     ents = m.join(touched, "id", "left_semi").groupBy("id").agg(F.collect_set(F.col("doc_id").cast("string")).alias("source_chunks"))

@@ -115,9 +115,9 @@ def superseded_penalty(spark: SparkSession, at: str) -> DataFrame:
     return x.groupBy("source").agg(F.count("*").alias("n"), F.round(F.sum("p"), 6).alias("weight"))
 
 
-@R.query(f"with {CHUNKS}, part as (select * from chunks where n_chars % 3 = 0) select id, ref_doc_id from part s where superseded_by is null or not exists (select 1 from part o where o.ref_doc_id = s.superseded_by)")
+@R.query(f"with {CHUNKS} select id, ref_doc_id from chunks s where superseded_by is null or not exists (select 1 from chunks o where o.ref_doc_id = s.superseded_by)")
 def strict_supersede(spark: SparkSession, at: str) -> DataFrame:
-    x = chunks(spark, at).where(F.element_at("metadata", "n_chars").cast("long") % 3 == 0)
+    x = chunks(spark, at)
     x = x.withColumns({"ref_doc_id": F.col("ref_doc_id").cast("string"), "superseded_by": F.col("superseded_by").cast("string")})
     return U.drop_superseded(x).select("id", F.col("ref_doc_id").cast("long").alias("ref_doc_id"))
 

@@ -55,6 +55,18 @@ def make_importable(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread(df: DataFrame, small: int = 8 << 20) -> DataFrame:
+    """df over all cores, if it is a scan of less than `small` bytes a core in few splits.
+
+    A small file is often one row group, which one task reads whatever the splits. A table with work for all
+    cores stays as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    few = size < small * cores and df.rdd.getNumPartitions() <= cores
+    return df.repartition(cores) if few else df
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written as Parquet into the shared checkpoint folder and read again; the files go when the program ends.
 

@@ -35,16 +35,7 @@ def test_query_matches_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())))
 def test_query_without_sql_runs(spark, name):
-    assert catalogue.queries()[name](spark, AT).columns
-
-
-def test_labels_of_all_order_lines(spark):
-    from tessera.operators import graph as G
-
-    lines = spark.read.parquet(f"{AT}/lineitem.parquet")
-    edges = lines.selectExpr("concat('p', l_partkey) as u", "concat('s', l_suppkey) as v", "case when l_quantity <= 0 then 1.0D else cast(l_quantity as double) end as w").groupBy("u", "v").agg({"w": "sum"}).toDF("u", "v", "weight")
-    want = {(r.id, r.label) for r in G.label_propagation(edges).collect()}
-    assert {(r.id, r.label) for r in catalogue.queries()["label_propagation"](spark, AT).collect()} == want
+    assert catalogue.queries()[name](spark, AT).count() > 0
 
 
 def test_communities_of_all_orders(spark):
