@@ -325,8 +325,11 @@ def _split_connected(of: dict, edges: list[tuple]) -> dict:
 
 def remove_chunks(rows: DataFrame, gone: list[str]) -> DataFrame:
     """Entities or relations without those chunks; a relation's weight becomes the number that is left."""
-    x = rows.withColumn("source_chunks", F.array_except("source_chunks", F.array(*[F.lit(g) for g in gone])))
-    return x.withColumn("weight", F.when(F.size("source_chunks") < F.size(rows["source_chunks"]), F.size("source_chunks").cast("double")).otherwise(F.col("weight"))) if "weight" in rows.columns else x
+    left = F.array_except("source_chunks", F.array(*[F.lit(g) for g in gone]))
+    changed = {"source_chunks": left}
+    if "weight" in rows.columns:
+        changed["weight"] = F.when(F.size(left) < F.size("source_chunks"), F.size(left).cast("double")).otherwise(F.col("weight"))
+    return rows.withColumns(changed)
 
 
 def prune_orphans(rows: DataFrame) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import documents, evaluation, graph, search
+from . import documents, evaluation, graph, records, search
 from .registry import Query
 
-MODULES = (search, documents, graph, evaluation)
+MODULES = (search, documents, graph, evaluation, records)
 
 
 def queries() -> dict[str, Query]:
