@@ -35,7 +35,12 @@ def at_path(x: object, path: str) -> object:
 
 @dataclass(frozen=True)
 class Pager:
-    """How a next page is found: link, header, cursor, next, offset, window or none."""
+    """How a next page is found: link, header, cursor, next, offset, window, page, skip, last or none.
+
+    page and skip count pages and items on while a page holds `size` items; last asks from the largest
+    number at `path` of a page's items on, while pages hold any. none with a size is a listing of one page
+    that may hold more than it shows when it is full.
+    """
 
     kind: str = "none"
     param: str = ""
@@ -44,7 +49,14 @@ class Pager:
     step: timedelta = timedelta(0)
     until: datetime | None = None
 
-    def following(self, url: str, params: dict[str, str], headers: dict[str, str], body: object) -> tuple[str, dict[str, str]] | None:
+    def following(self, url: str, params: dict[str, str], headers: dict[str, str], body: object, items: Sequence[object] = ()) -> tuple[str, dict[str, str]] | None:
+        if self.kind in ("page", "skip"):
+            now = int(params.get(self.param, 0)) + (1 if self.kind == "page" else self.size)
+            return (url, params | {self.param: str(now)}) if len(items) >= self.size else None
+        if self.kind == "last":
+            seen = [int(v) for x in items if str(v := at_path(x, self.path)).isdigit()]
+            now = max(seen, default=0) + self.size
+            return (url, params | {self.param: str(now)}) if seen and now > int(params.get(self.param, -1)) else None
         low = {k.lower(): v for k, v in headers.items()}
         if self.kind == "link":
             m = re.search(r'<([^>]+)>\s*;[^,]*\brel\s*=\s*"?next"?', low.get("link", ""))
@@ -83,6 +95,11 @@ class Service:
     #: always, empty (only without a cursor) or never: whether a fetch lists everything there is.
     reconcile: str = "empty"
     kind: str = "page"
+    #: The path in an item of what the cursor becomes, and whether that is a number; updated_at else.
+    mark: str = ""
+    number: bool = False
+    #: How the cursor is written into `since`.
+    asks: str = "{cursor}"
 
 
 # The services' public interfaces and where their answers hold what.
@@ -91,17 +108,17 @@ SERVICES = {
     for s in (
         Service("github", "https://api.github.com/repos/{repo}/issues", "", {"id": "number", "title": "title", "url": "html_url", "updated_at": "updated_at", "body": "body"}, Pager("link"), "since", timedelta(seconds=1), {"state": "all", "per_page": "100"}, kind="issue"),
         Service("gitlab", "{base}/api/v4/projects/{project}/issues", "", {"id": "iid", "title": "title", "url": "web_url", "updated_at": "updated_at", "body": "description"}, Pager("header", "page", "X-Next-Page"), "updated_after", timedelta(seconds=1), {"per_page": "100"}, kind="issue"),
-        Service("mediawiki", "{base}/api.php", "query.recentchanges", {"id": "pageid", "title": "title", "updated_at": "timestamp", "body": "comment"}, Pager("cursor", "rccontinue", "continue.rccontinue"), "rcend", timedelta(0), {"action": "query", "list": "recentchanges", "format": "json"}, "never"),
-        Service("confluence", "{base}/rest/api/content/search", "results", {"id": "id", "title": "title", "url": "_links.webui", "updated_at": "version.when", "body": "body.storage.value"}, Pager("next", path="_links.next"), "cql"),
+        Service("mediawiki", "{base}/api.php", "query.pages", {"id": "pageid", "title": "title", "updated_at": "revisions.0.timestamp", "body": "revisions.0.slots.main.*"}, Pager("cursor", "grccontinue", "continue.grccontinue"), "grcend", timedelta(0), {"action": "query", "generator": "recentchanges", "prop": "revisions", "rvprop": "content|timestamp", "rvslots": "main", "format": "json"}, "never"),
+        Service("confluence", "{base}/rest/api/content/search", "results", {"id": "id", "title": "title", "url": "_links.webui", "updated_at": "version.when", "body": "body.storage.value"}, Pager("next", path="_links.next"), "cql", params={"expand": "body.storage,version"}, asks='lastmodified >= "{cursor}"'),
         Service("slack", "https://slack.com/api/conversations.history", "messages", {"id": "ts", "title": "user", "updated_at": "ts", "body": "text"}, Pager("cursor", "cursor", "response_metadata.next_cursor"), "oldest", kind="message"),
-        Service("telegram", "https://api.telegram.org/bot{token}/getUpdates", "result", {"id": "update_id", "title": "message.from.username", "updated_at": "message.date", "body": "message.text"}, Pager(), "offset", reconcile="never", kind="message"),
-        Service("mattermost", "{base}/api/v4/channels/{channel}/posts", "posts", {"id": "id", "title": "user_id", "updated_at": "update_at", "body": "message"}, Pager(), "since", kind="message"),
-        Service("discord", "https://discord.com/api/v10/channels/{channel}/messages", "", {"id": "id", "title": "author.username", "updated_at": "timestamp", "body": "content"}, Pager(), "after", kind="message"),
+        Service("telegram", "https://api.telegram.org/bot{token}/getUpdates", "result", {"id": "update_id", "title": "message.from.username", "updated_at": "message.date", "body": "message.text"}, Pager("last", "offset", "update_id", 1), "offset", params={"limit": "100"}, reconcile="never", kind="message", mark="update_id", number=True),
+        Service("mattermost", "{base}/api/v4/channels/{channel}/posts", "posts", {"id": "id", "title": "user_id", "updated_at": "update_at", "body": "message"}, Pager("page", "page", size=200), "since", params={"page": "0", "per_page": "200"}, kind="message", mark="update_at", number=True),
+        Service("discord", "https://discord.com/api/v10/channels/{channel}/messages", "", {"id": "id", "title": "author.username", "updated_at": "timestamp", "body": "content"}, Pager("last", "after", "id"), "after", params={"after": "0", "limit": "100"}, kind="message", mark="id", number=True),
         Service("yandex-tracker", "https://api.tracker.yandex.net/v2/issues/_search", "", {"id": "key", "title": "summary", "updated_at": "updatedAt", "body": "description"}, Pager("link"), "updated.from", kind="issue"),
-        Service("youtrack", "{base}/api/issues", "", {"id": "idReadable", "title": "summary", "updated_at": "updated", "body": "description"}, Pager(), "query", kind="issue"),
-        Service("kaiten", "{base}/api/latest/cards", "", {"id": "id", "title": "title", "updated_at": "updated", "body": "description"}, Pager(), "updated_after", kind="card"),
-        Service("weeek", "https://api.weeek.net/public/v1/tm/tasks", "tasks", {"id": "id", "title": "title", "updated_at": "updatedAt", "body": "description"}, Pager(), reconcile="always", kind="task"),
-        Service("trello", "https://api.trello.com/1/boards/{board}/cards", "", {"id": "id", "title": "name", "url": "shortUrl", "updated_at": "dateLastActivity", "body": "desc"}, Pager(), reconcile="always", kind="card"),
+        Service("youtrack", "{base}/api/issues", "", {"id": "idReadable", "title": "summary", "updated_at": "updated", "body": "description"}, Pager("skip", "$skip", size=100), "query", params={"$top": "100", "$skip": "0", "fields": "idReadable,summary,description,updated"}, kind="issue", mark="updated", number=True, asks="updated: {cursor} .. *"),
+        Service("kaiten", "{base}/api/latest/cards", "", {"id": "id", "title": "title", "updated_at": "updated", "body": "description"}, Pager("skip", "offset", size=100), "updated_after", params={"limit": "100", "offset": "0"}, kind="card"),
+        Service("weeek", "https://api.weeek.net/public/v1/tm/tasks", "tasks", {"id": "id", "title": "title", "updated_at": "updatedAt", "body": "description"}, Pager("skip", "offset", size=100), params={"perPage": "100", "offset": "0"}, reconcile="always", kind="task"),
+        Service("trello", "https://api.trello.com/1/boards/{board}/cards", "", {"id": "id", "title": "name", "url": "shortUrl", "updated_at": "dateLastActivity", "body": "desc"}, Pager(size=1000), params={"limit": "1000"}, reconcile="always", kind="card"),
         Service("search-api", "{base}", "{items}", {}, Pager(), "since"),
     )
 }
@@ -115,27 +132,38 @@ class Fetched:
 
 
 def fetch(service: Service, transport: Transport, config: dict[str, str], cursor: str = "", source: str = "") -> Fetched:
-    """All documents since the cursor. A page that cannot be had is an error, and the old cursor stays valid."""
+    """All documents since the cursor. A page that cannot be had is an error, and the old cursor stays valid.
+
+    full tells that everything there is was listed: never where the last page was full and no next one known.
+    """
     url = service.url.format_map(config)
     params = dict(service.params)
     if cursor and service.since:
         since = cursor
         if service.back:
             since = (datetime.fromisoformat(cursor.replace("Z", "+00:00")) - service.back).isoformat()
-        params[service.since] = since
-    documents, newest = [], cursor
+        params[service.since] = service.asks.format(cursor=since)
+    order = (lambda c: int(c) if c.isdigit() else -1) if service.number else str
+    documents, newest, many = [], cursor, 0
     step: tuple[str, dict[str, str]] | None = (url, params)
     while step is not None:
         headers, body = transport(*step)
         page = json.loads(body)
         items = at_path(page, service.items.format_map(config)) if service.items else page
-        for item in (items.values() if isinstance(items, dict) else items) or ():
+        items = list(items.values() if isinstance(items, dict) else items or ())
+        for item in items:
             d = {k: at_path(item, p) for k, p in service.fields.items()}
             d = {k: v if v is None else str(v) for k, v in d.items()} | {"source": source or service.name, "kind": service.kind}
             documents.append(d)
-            newest = max(newest, d.get("updated_at") or "")
-        step = service.pager.following(*step, headers, page)
-    return Fetched(documents, newest, service.reconcile == "always" or (service.reconcile == "empty" and not cursor))
+            mark = at_path(item, service.mark) if service.mark else d.get("updated_at")
+            newest = max(newest, str(mark if mark is not None else ""), key=order)
+        many = len(items)
+        step = service.pager.following(*step, headers, page, items)
+    cut = service.pager.kind == "none" and 0 < service.pager.size <= many
+    if service.number and service.pager.kind == "last" and newest.isdigit() and newest != cursor:
+        # The next fetch asks from behind the last one.
+        newest = str(int(newest) + service.pager.size)
+    return Fetched(documents, newest, not cut and (service.reconcile == "always" or (service.reconcile == "empty" and not cursor)))
 
 
 FETCHED = "source string, id string, kind string, title string, url string, updated_at string, body string, cursor string, full boolean, error string"
