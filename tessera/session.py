@@ -10,6 +10,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of an Arrow batch between the JVM and Python.
+ARROW_ROWS = 2_000
+
+
 def local_session(app: str = "tessera", cores: str | int = "*", memory: str = "8g") -> SparkSession:
     """A local session for tests and benchmarks. On a cluster, pass your own session instead."""
     n = os.cpu_count() if cores == "*" else int(cores)
@@ -42,8 +46,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def make_importable(spark: SparkSession) -> SparkSession:
     """The session, with this package's folder on its Python workers' path; where a cluster installs it, that changes nothing.
 
-    Workers that start later also give freed arrays of 8 MB and more back to the system at once, so that
-    what one stage needed is not held through the next.
+    What a worker holds is kept small, too: batches have ARROW_ROWS rows unless the session says otherwise, as
+    10,000 long texts are a lot for one batch, and workers that start later give freed arrays of a megabyte
+    and more back to the system at once, so that what one stage needed is not held through the next.
     """
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     env = spark.sparkContext.environment
@@ -51,7 +56,10 @@ def make_importable(spark: SparkSession) -> SparkSession:
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, root])
     for knob in ("MALLOC_MMAP_THRESHOLD_", "MALLOC_TRIM_THRESHOLD_"):
-        env.setdefault(knob, str(1 << 23))
+        env.setdefault(knob, str(1 << 20))
+    env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return spark
 
 
