@@ -18,7 +18,7 @@ REPEAT_BYTES, REPEAT_WORDS = 256, 51
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain does not call toxic; it learns from the labels table."""
-    make_importable(spark)
+    make_importable(spark, give_back=True)
     docs = docs.select(COLUMNS)
     chain = fitted_chain(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.with_toxicity(docs, "text", chain, "toxic").where("not toxic").select(COLUMNS)
@@ -26,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the profiles know, learned from the documents' own lang."""
-    make_importable(spark)
+    make_importable(spark, give_back=True)
     docs = docs.select(COLUMNS)
     ranked = language.profiles(docs, "text", "lang")
     found = language.with_language(docs, "text", ranked)
@@ -35,20 +35,20 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts or texts of similarity 0.8 over five-word shingles."""
-    make_importable(spark)
+    make_importable(spark, give_back=True)
     return similar.one_of_each(docs.select(COLUMNS), "doc_id", "text").select(COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of REPEAT_BYTES or REPEAT_WORDS and more that occur elsewhere too; n_chars follows the text."""
-    make_importable(spark)
+    make_importable(spark, give_back=True)
     out = repeats.without_repeats(docs.select(COLUMNS), "text", REPEAT_BYTES, REPEAT_WORDS)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of each document: its bin, the bin's length and its place in the bin."""
-    make_importable(spark)
+    make_importable(spark, give_back=True)
     return packing.best_fit(docs, "doc_id", packing.word_count(F.col("text")), OP8_SIZES).withColumnRenamed("id", "doc_id")
 
 

@@ -43,20 +43,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return at
 
 
-def make_importable(spark: SparkSession) -> SparkSession:
+def make_importable(spark: SparkSession, give_back: bool = False) -> SparkSession:
     """The session, with this package's folder on its Python workers' path; where a cluster installs it, that changes nothing.
 
     What a worker holds is kept small, too: batches have ARROW_ROWS rows unless the session says otherwise, as
-    10,000 long texts are a lot for one batch, and workers that start later give freed arrays of a megabyte
-    and more back to the system at once, so that what one stage needed is not held through the next.
+    10,000 long texts are a lot for one batch. With give_back, workers that start later return freed arrays of
+    a megabyte and more to the system at once, so that what one stage needed is not held through the next;
+    that takes time, and is for programs of several stages.
     """
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, root])
-    for knob in ("MALLOC_MMAP_THRESHOLD_", "MALLOC_TRIM_THRESHOLD_"):
-        env.setdefault(knob, str(1 << 20))
+    if give_back:
+        for knob in ("MALLOC_MMAP_THRESHOLD_", "MALLOC_TRIM_THRESHOLD_"):
+            env.setdefault(knob, str(1 << 20))
     env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
