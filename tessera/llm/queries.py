@@ -35,22 +35,40 @@ def op2_tool_call_linking(spark: SparkSession, at: str) -> DataFrame:
 
 
 OP2_SQL = """
-with asked as (
-  select cast(conv_id as varchar) as conv_id, cast(turn as varchar) as call_id, turn as position, role, text from conversations where role in ('user', 'system')
+with recursive asked as (
+  select cast(t.conv_id as varchar) as conv_id, cast(t.turn as varchar) as call_id, t.turn as position, t.role, t.text,
+    case when t.role = 'user' then t.turn - 2 else l.last end as needs
+  from conversations t left join (select conv_id, max(turn) as last from conversations where role = 'user' group by conv_id) l on t.conv_id = l.conv_id
+  where t.role in ('user', 'system')
+), edges as (
+  select distinct a.conv_id, a.position, b.position as needs from asked a join asked b on a.conv_id = b.conv_id and a.needs = b.position and a.position <> b.position
+), reach as (
+  select conv_id, position, needs from edges
+  union
+  select r.conv_id, r.position, e.needs from reach r join edges e on r.conv_id = e.conv_id and r.needs = e.position
+), places as (
+  select a.conv_id, a.position, greatest(a.position, max(r.needs)) as place, coalesce(bool_or(r.needs = a.position), false) as cyclic
+  from (select distinct conv_id, position from asked) a left join reach r on a.conv_id = r.conv_id and a.position = r.position group by a.conv_id, a.position
+), orders as (
+  select p.conv_id, p.position, p.place, p.cyclic, count(distinct o.needs) as depth
+  from places p left join (
+    select r.conv_id, r.position, r.needs, q.place from reach r join places q on r.conv_id = q.conv_id and r.needs = q.position
+  ) o on p.conv_id = o.conv_id and p.position = o.position and p.place = o.place group by all
 ), results as (
   select cast(conv_id as varchar) as conv_id, cast(turn - 1 as varchar) as call_id, turn as position, text as content from conversations where role = 'assistant'
 ), firsts as (
   select conv_id, call_id, min_by(position, (position, content)) as position, min_by(content, (position, content)) as content, count(*) as results from results group by all
 ), joined as (
-  select a.conv_id, a.call_id, a.position, a.role, a.text, f.content, f.results, f.position as answered,
+  select a.conv_id, a.call_id, a.position, a.role, a.text, f.content, f.results, f.position as answered, o.place, o.depth, o.cyclic,
     concat_ws('; ',
       case when a.text is null then 'missing prompt' when length(a.text) < 1 or (a.role = 'user' and length(a.text) > 400) then 'out of range: prompt' end,
       case when a.position < 0 or (a.role = 'system' and a.position > 0) then 'out of range: turn' end) as faults,
     case when f.conv_id is null then 'unanswered' when f.position < a.position then 'early' else 'ok' end as status
   from asked a left join firsts f on a.conv_id = f.conv_id and a.call_id = f.call_id
+  join orders o on a.conv_id = o.conv_id and a.position = o.position
 )
-select conv_id, call_id, position, position as order_after, 0 as order_depth, false as cyclic, status, coalesce(results, 0) as results, faults = '' as valid, faults,
-  '{"arguments":{' || case when text is null then '' else '"prompt":' || cast(to_json(text) as varchar) || ',' end || '"turn":"' || call_id || '"}'
+select conv_id, call_id, position, place as order_after, cast(depth as integer) as order_depth, cyclic, status, coalesce(results, 0) as results, faults = '' as valid, faults,
+  '{"arguments":{' || case when text is null then '' else '"prompt":' || cast(to_json(text) as varchar) || ',' end || '"turn":' || call_id || '}'
   || case when content is null then '' else ',"content":' || cast(to_json(content) as varchar) end
   || ',"id":"' || call_id || '","name":"' || case when role = 'user' then 'reply' else 'setup' end || '","status":"' || status || '","valid":' || case when faults = '' then 'true' else 'false' end || '}' as canonical
 from joined
