@@ -42,18 +42,21 @@ def soft_close(chunks: DataFrame, docs: DataFrame, now: Column) -> DataFrame:
     return x.withColumn("valid_to", F.when(F.col("hit") & F.col("valid_to").isNull(), now).otherwise(F.col("valid_to"))).select(chunks.columns)
 
 
-def replace_by_doc(chunks: DataFrame, incoming: DataFrame, now: Column) -> DataFrame:
-    """Closes the active chunks of the incoming documents and adds the incoming as new versions.
+def new_versions(chunks: DataFrame, incoming: DataFrame, now: Column) -> DataFrame:
+    """Incoming chunks as rows of the chunk table.
 
     incoming: ref_doc_id, chunk_index and the content columns. A version's id is doc#index, later
     doc#index#n, and replaces names the version that it follows.
     """
-    w = Window.partitionBy("ref_doc_id", "chunk_index").orderBy(F.desc("created_at"), F.desc("id"))
-    last = chunks.withColumn("nth", F.row_number().over(w)).withColumn("versions", F.count("*").over(Window.partitionBy("ref_doc_id", "chunk_index"))).where("nth = 1")
-    last = last.select("ref_doc_id", "chunk_index", F.col("id").alias("prior"), "versions")
+    last = chunks.groupBy("ref_doc_id", "chunk_index").agg(F.max_by("id", F.struct("created_at", "id")).alias("prior"), F.count("*").alias("versions"))
     new = incoming.join(last, ["ref_doc_id", "chunk_index"], "left").withColumn("versions", F.coalesce("versions", F.lit(0)))
     new = new.withColumns({"id": versioned_chunk_id(F.col("ref_doc_id").cast("string"), F.col("chunk_index"), F.col("versions")), "replaces": F.col("prior"), "created_at": now, "valid_to": F.lit(None).cast("timestamp")})
-    return soft_close(chunks, incoming, now).unionByName(new.select([c for c in chunks.columns if c in new.columns]), allowMissingColumns=True)
+    return new.select([c for c in chunks.columns if c in new.columns])
+
+
+def replace_by_doc(chunks: DataFrame, incoming: DataFrame, now: Column) -> DataFrame:
+    """Closes the active chunks of the incoming documents and adds the incoming as new versions."""
+    return soft_close(chunks, incoming, now).unionByName(new_versions(chunks, incoming, now), allowMissingColumns=True)
 
 
 def delete_docs(chunks: DataFrame, docs: DataFrame) -> DataFrame:

@@ -1,11 +1,14 @@
-"""Streaming ingest: document batches into versioned chunk snapshots, with cursors and tombstones.
+"""Streaming ingest: document batches into a log of versioned chunks, with cursors and tombstones.
 
-A batch's new state is written to a path of its own number, and a pointer file names the current one,
-so a batch that is replayed after a failure writes the same state again and makes no second version.
+A batch writes what it adds, closes and removes, under its own number, and a marker when it is complete;
+so its cost follows the batch and not the table, and a batch that is replayed after a failure writes the
+same again and makes no second version. Every so many batches the state is written whole, and what no
+reader needs any more goes.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,34 +18,92 @@ from ..functions.text import document_hash, estimate_tokens
 from ..operators import chunking, lineage
 
 CHUNKS = "id string, ref_doc_id string, chunk_index int, text string, source string, token_count int, hash string, created_at timestamp, valid_to timestamp, replaces string"
+CLOSED = "ref_doc_id string, at timestamp, batch long"
+GONE = "source string, ref_doc_id string, batch long"
+#: Batches from one whole state to the next.
+COMPACT_EVERY = 64
 
 
-class Snapshots:
-    """A table as numbered Parquet snapshots under a root of any file system that Spark knows."""
+class ChunkLog:
+    """The chunk table as the changes of numbered batches, under a root of any file system that Spark knows."""
 
-    def __init__(self, spark: SparkSession, root: str, schema: str) -> None:
-        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
+    def __init__(self, spark: SparkSession, root: str, compact_every: int = COMPACT_EVERY) -> None:
+        self.spark, self.root, self.compact_every = spark, root.rstrip("/"), compact_every
 
-    def numbers(self) -> list[int]:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        done = [str(s.getPath().getName()) for s in fs.listStatus(path) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        return sorted(int(n.removeprefix("v")) for n in done if n.startswith("v") and n[1:].isdigit())
+    def _at(self, kind: str, name: str = ""):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{kind}/{name}".rstrip("/"))
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-    def read(self, before: int | None = None) -> DataFrame:
-        """The newest complete snapshot, or the newest one before a number; empty if none."""
-        n = [v for v in self.numbers() if before is None or v < before]
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/v{n[-1]:010d}") if n else self.spark.createDataFrame([], self.schema)
+    def _names(self, kind: str) -> list[str]:
+        fs, path = self._at(kind)
+        return sorted(str(s.getPath().getName()) for s in fs.listStatus(path)) if fs.exists(path) else []
 
-    def write(self, rows: DataFrame, number: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.root}/v{number:010d}")
+    def _mark(self, kind: str, name: str) -> None:
+        fs, path = self._at(kind, name)
+        fs.mkdirs(path)
 
+    def numbers(self) -> list[int]:
+        """The complete batches that still stand as changes."""
+        return [int(n) for n in self._names("done")]
+
+    def time(self, number: int):
+        """The time of a batch, fixed when it is first asked for, so that a replay has the same."""
+        known = [n for n in self._names("times") if n.startswith(f"{number:010d}-")]
+        if not known:
+            self._mark("times", f"{number:010d}-{int(time.time() * 1000):015d}")
+            known = [n for n in self._names("times") if n.startswith(f"{number:010d}-")]
+        return F.timestamp_millis(F.lit(int(known[0].split("-")[1])))
+
+    def _rows(self, kind: str, numbers: list[int], schema: str) -> DataFrame:
+        at = [f"{self.root}/{kind}/{n:010d}" for n in numbers]
+        return self.spark.read.schema(schema).parquet(*at) if at else self.spark.createDataFrame([], schema)
+
+    def _state(self, before: int | None) -> DataFrame:
+        """Chunks with the batch that added them, as the complete batches before a number left them."""
+        bases = [int(n) for n in self._names("bases") if before is None or int(n) < before]
+        base = bases[-1:]
+        numbers = [n for n in self.numbers() if (not base or n > base[0]) and (before is None or n < before)]
+        rows = self._rows("base", base, f"{CHUNKS}, batch long").unionByName(self._rows("added", numbers, f"{CHUNKS}, batch long"))
+        ends = self._rows("closed", numbers, CLOSED).groupBy("ref_doc_id").agg(F.array_sort(F.collect_list(F.struct("batch", "at"))).alias("ends"))
+        gone = self._rows("gone", numbers, GONE).groupBy("source", "ref_doc_id").agg(F.max("batch").alias("gone"))
+        x = rows.join(ends, "ref_doc_id", "left").join(gone, ["source", "ref_doc_id"], "left").where("gone is null or batch > gone")
+        # A chunk ends with the first closing of its document by a later batch.
+        return x.withColumn("valid_to", F.coalesce("valid_to", F.get(F.filter("ends", lambda e: e["batch"] > F.col("batch")), F.lit(0))["at"])).drop("ends", "gone")
 
-def index_batch(documents: DataFrame, chunks: DataFrame, now, size: int = 512, overlap: int = 64) -> DataFrame:
-    """The chunk table after a batch of documents (id, source, kind, body, frontmatter).
+    def read(self, before: int | None = None) -> DataFrame:
+        """The chunk table after all complete batches, or after those before a number."""
+        x = self._state(before)
+        return x.select([c for c in x.columns if c != "batch"]).select(*[c.split()[0] for c in CHUNKS.split(", ")])
+
+    def append(self, number: int, added: DataFrame, closed: DataFrame, gone: DataFrame) -> None:
+        """A batch's new chunks, the documents (ref_doc_id) that it closes and those (source, ref_doc_id) that it removes."""
+        n = F.lit(number).cast("long")
+        added.withColumn("batch", n).write.mode("overwrite").parquet(f"{self.root}/added/{number:010d}")
+        closed.select("ref_doc_id", self.time(number).alias("at"), n.alias("batch")).write.mode("overwrite").parquet(f"{self.root}/closed/{number:010d}")
+        gone.select("source", "ref_doc_id", n.alias("batch")).write.mode("overwrite").parquet(f"{self.root}/gone/{number:010d}")
+        self._mark("done", f"{number:010d}")
+        if number % self.compact_every == self.compact_every - 1:
+            self.compact(number)
+
+    def compact(self, number: int) -> None:
+        """Writes the state after a batch whole; removes the changes that the whole state before it has taken up."""
+        earlier = [int(n) for n in self._names("bases") if int(n) < number]
+        self._state(number + 1).write.mode("overwrite").parquet(f"{self.root}/base/{number:010d}")
+        self._mark("bases", f"{number:010d}")
+        if not earlier:
+            return
+        for n in [n for n in self.numbers() if n <= earlier[-1]]:
+            for kind in ("done", "added", "closed", "gone"):
+                fs, path = self._at(kind, f"{n:010d}")
+                fs.delete(path, True)
+        for n in earlier[:-1]:
+            for kind in ("bases", "base"):
+                fs, path = self._at(kind, f"{n:010d}")
+                fs.delete(path, True)
+
+
+def new_chunks(documents: DataFrame, chunks: DataFrame, now, size: int = 512, overlap: int = 64) -> DataFrame:
+    """The rows that a batch of documents (id, source, kind, body, frontmatter) adds to the chunk table.
 
     Unchanged documents are skipped by hash, changed ones get new versions, and a batch that holds a
     document twice keeps the one that sorts last.
@@ -53,26 +114,32 @@ def index_batch(documents: DataFrame, chunks: DataFrame, now, size: int = 512, o
     new = lineage.changed(docs, stored)
     parts = new.select("ref_doc_id", "source", "hash", F.posexplode(chunking.packed_sentences(chunking.sentences(F.col("body")), size, overlap)).alias("chunk_index", "text"))
     parts = parts.withColumn("token_count", estimate_tokens(F.col("text")))
-    return lineage.replace_by_doc(chunks, parts, now).select(chunks.columns)
+    return lineage.new_versions(chunks, parts, now)
 
 
-def apply_deletions(chunks: DataFrame, tombstones: DataFrame) -> DataFrame:
-    """chunks without those of documents (source, id) that were removed."""
-    gone = tombstones.select("source", F.col("id").alias("ref_doc_id")).distinct()
-    return chunks.join(gone, ["source", "ref_doc_id"], "left_anti")
+def index_batch(documents: DataFrame, chunks: DataFrame, now, size: int = 512, overlap: int = 64) -> DataFrame:
+    """The whole chunk table after a batch of documents."""
+    new = new_chunks(documents, chunks, now, size, overlap)
+    return lineage.soft_close(chunks, new, now).unionByName(new).select(chunks.columns)
+
 
+def batch_writer(store: ChunkLog, tombstones: Callable[[], DataFrame] | None = None, also: Callable[[DataFrame, int], None] | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: each batch's changes go to the log; `also` gets the batch too.
 
-def batch_writer(store: Snapshots, tombstones: Callable[[], DataFrame] | None = None, also: Callable[[DataFrame, int], None] | None = None) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: each batch becomes the next snapshot; `also` gets the batch too."""
+    Documents (source, id) with a tombstone are not taken in, and chunks that the log has of them go.
+    """
 
     def run(batch: DataFrame, number: int) -> None:
         docs = batch.persist()
+        chunks = store.read(before=number)
+        gone = chunks.select("source", "ref_doc_id").limit(0)
         if tombstones is not None:
             docs = lineage.not_tombstoned(docs, tombstones())
-        state = index_batch(docs, store.read(before=number + 1), F.lit(0).cast("timestamp") + F.make_interval(secs=F.lit(number)))
-        if tombstones is not None:
-            state = apply_deletions(state, tombstones())
-        store.write(state, number + 1)
+            removed = tombstones().select("source", F.col("id").alias("ref_doc_id")).distinct()
+            gone = removed.join(chunks.select("source", "ref_doc_id"), ["source", "ref_doc_id"], "left_semi")
+        added = new_chunks(docs, chunks, store.time(number)).persist()
+        store.append(number, added, added.select("ref_doc_id").distinct(), gone)
+        added.unpersist()
         if also is not None:
             also(batch, number)
         batch.unpersist()
@@ -80,7 +147,7 @@ def batch_writer(store: Snapshots, tombstones: Callable[[], DataFrame] | None =
     return run
 
 
-def ingest(documents: DataFrame, store: Snapshots, checkpoint: str, **options):
+def ingest(documents: DataFrame, store: ChunkLog, checkpoint: str, **options):
     """A streaming query of documents into the store; what there is now is one batch or more, then it ends."""
     return documents.writeStream.foreachBatch(batch_writer(store, **options)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

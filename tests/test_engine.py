@@ -7,7 +7,7 @@ from tessera.models import HashEmbedder, ScriptedChat, embedded
 from tessera.operators.filters import Filter
 from tessera.operators.retrieve import Engine
 from tessera.sources.readers import html_text, questions, read_tree
-from tessera.streaming.ingest import CHUNKS, Snapshots, index_batch, ingest, session_stream, sync
+from tessera.streaming.ingest import ChunkLog, batch_writer, index_batch, ingest, session_stream, sync
 
 # The gate: four documents, each of which one query is about.
 DOCS = {
@@ -52,7 +52,7 @@ def test_ingest_is_replayable(spark, tmp_path):
     docs = spark.createDataFrame([("a", "s", "md", "One. Two.", {}, None), ("b", "s", "md", "Three.", {}, None)], schema)
     src = str(tmp_path / "src")
     docs.write.parquet(src)
-    store = Snapshots(spark, str(tmp_path / "store"), CHUNKS)
+    store = ChunkLog(spark, str(tmp_path / "store"))
     q = ingest(spark.readStream.schema(schema).parquet(src), store, str(tmp_path / "cp"))
     q.awaitTermination()
     first = sorted((r.id, r.text) for r in store.read().collect())
@@ -67,6 +67,37 @@ def test_ingest_is_replayable(spark, tmp_path):
     assert [r.replaces for r in store.read().where("id = 'a#0#2'").collect()] == ["a#0"]
 
 
+def test_log_of_batches(spark, tmp_path):
+    schema = "id string, source string, kind string, body string, frontmatter map<string,string>, updated_at timestamp"
+    batch = lambda *rows: spark.createDataFrame([(i, "s", "md", b, {}, None) for i, b in rows], schema)
+    store = ChunkLog(spark, str(tmp_path / "log"), compact_every=2)
+    gone = [("s", "none")]
+    run = batch_writer(store, lambda: spark.createDataFrame(gone, "source string, id string"))
+    look = lambda: {r.id: r for r in store.read().collect()}
+    run(batch(("a", "One."), ("b", "Two.")), 0)
+    first = look()
+    assert set(first) == {"a#0", "b#0"} and first["a#0"].created_at.year > 2000
+    # The same batch again makes the same rows, with the same times.
+    run(batch(("a", "One."), ("b", "Two.")), 0)
+    assert look() == first
+    run(batch(("a", "Three.")), 1)
+    run(batch(("a", "Four."), ("b", "Two.")), 2)
+    got = look()
+    assert set(got) == {"a#0", "a#0#2", "a#0#3", "b#0"} and got["a#0#3"].valid_to is None and got["b#0"].valid_to is None
+    assert got["a#0"].valid_to == got["a#0#2"].created_at and got["a#0#2"].valid_to == got["a#0#3"].created_at
+    assert store.read(before=2).where("valid_to is null").count() == 2
+    gone.append(("s", "b"))
+    run(batch(("b", "Two.")), 3)
+    assert set(look()) == {"a#0", "a#0#2", "a#0#3"}
+    # A document whose tombstone was taken back comes in anew.
+    gone.pop()
+    for n in (4, 5):
+        run(batch(("b", "Two.")), n)
+    assert set(look()) == {"a#0", "a#0#2", "a#0#3", "b#0"}
+    # What two whole states have taken up is removed.
+    assert store.numbers() == [4, 5] and store._names("base") == ["0000000003", "0000000005"]
+
+
 def test_session_stream(spark, tmp_path):
     rows = [(1, "2024-01-01 00:00:00"), (1, "2024-01-01 10:00:00"), (1, "2024-01-05 00:00:00"), (2, "2024-02-01 00:00:00")]
     spark.createDataFrame(rows, "user_id long, t string").select("user_id", F.col("t").cast("timestamp").alias("ts")).write.parquet(str(tmp_path / "m"))
