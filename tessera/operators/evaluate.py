@@ -159,3 +159,67 @@ def deterministic_coverage(rows: DataFrame, key: str, k: int) -> DataFrame:
     n = F.least(F.count("*") / max(k, 1), F.lit(1.0))
     mean = F.greatest(F.least(F.avg("score"), F.lit(1.0)), F.lit(0.0))
     return rows.groupBy(key).agg(((n + mean) / 2).alias("coverage"))
+
+
+def legal_as_of(redactions: DataFrame) -> DataFrame:
+    """One row: the corpus's date, that of its latest redaction (article, date)."""
+    return redactions.agg(F.max("date").alias("as_of"))
+
+
+def legal_report(cited: DataFrame, articles: DataFrame, plenums: DataFrame, relevant: DataFrame, claims: DataFrame) -> DataFrame:
+    """(metric, passed, total, rate) of the three legal metrics, in one row each.
+
+    cited: question_id, position, article (null where the citation resolves to nothing). articles: article,
+    current (in force at the date asked for). plenums: article, known rulings, which do not count.
+    relevant: question_id, article, passed; claims: question_id, passed; both hold what the judge decided,
+    so its failures are absent. An article counts once a question for nhsr, and each citation of nothing
+    known counts against it.
+    """
+    x = cited.join(articles.select("article", "current").dropDuplicates(["article"]), "article", "left").join(plenums.select("article", F.lit(True).alias("plenum")).distinct(), "article", "left")
+    known = x.where("current is not null").select("question_id", "article", "current").distinct()
+    unknown = x.where("current is null and plenum is null").agg(F.lit(0).cast("long").alias("passed"), F.count("*").alias("total"))
+    nhsr = known.agg(F.count_if("current").alias("passed"), F.count("*").alias("total")).unionByName(unknown).agg(F.sum("passed").alias("passed"), F.sum("total").alias("total"))
+    srr = relevant.join(known.select("question_id", "article"), ["question_id", "article"], "left_semi").agg(F.count_if("passed").alias("passed"), F.count("*").alias("total"))
+    lct = claims.agg(F.count_if("passed").alias("passed"), F.count("*").alias("total"))
+    out = nhsr.select(F.lit("nhsr").alias("metric"), "passed", "total").union(srr.select(F.lit("srr"), "passed", "total")).union(lct.select(F.lit("lct"), "passed", "total"))
+    return out.withColumn("rate", F.when(F.col("total") == 0, 0.0).otherwise(F.col("passed") / F.col("total")))
+
+
+def golden_set(documents: DataFrame, source: str = "") -> DataFrame:
+    """(id, source, question, expected): closed issues of one source, or of all, with a title and a body.
+
+    documents: id, source, kind, title, body, frontmatter.
+    """
+    x = documents.where((F.col("kind") == "issue") & (F.element_at("frontmatter", "state") == "closed"))
+    if source:
+        x = x.where(F.col("source") == source)
+    x = x.select("id", "source", trim_space(F.col("title")).alias("question"), trim_space(F.col("body")).alias("expected"))
+    return x.where("question <> '' and expected <> ''")
+
+
+def most_within(seconds_each: float, budget: float, pool: int | None = None) -> int:
+    """How many items of so many seconds a budget of seconds allows, at most the pool; 0 where a number is not above 0."""
+    if seconds_each <= 0 or budget <= 0 or (pool is not None and pool <= 0):
+        return 0
+    n = int(budget / seconds_each)
+    while n > 0 and n * seconds_each > budget:
+        n -= 1
+    return n if pool is None else min(n, pool)
+
+
+#: Rungs of the evolution ladder: the answer mode, and what each switches on beyond the rung before it.
+LADDER = (
+    ("native", "naive", ()),
+    ("hybrid", "naive", ("hybrid",)),
+    ("graph", "naive", ("graph",)),
+    ("rerank", "naive", ("rerank",)),
+    ("logic", "got", ()),
+    ("temporal", "got", ("strict_supersede", "contradictions")),
+    ("qualifiers", "got", ("qualifier_filter",)),
+)
+
+
+def ladder() -> list[tuple[str, str, frozenset[str]]]:
+    """(rung, answer mode, all that is on) from the plainest to the fullest; what a rung switches on stays on."""
+    on: frozenset[str] = frozenset()
+    return [(name, mode, on := on | set(new)) for name, mode, new in LADDER]

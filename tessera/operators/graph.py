@@ -52,8 +52,11 @@ def batch_relations(raw: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def merge_relations(rows: DataFrame) -> DataFrame:
-    """Relations by id in the order of seq: weights add up, the first window holds, later ends close open ones."""
-    first = F.min_by(F.struct("valid_from", "valid_to"), "seq")
+    """Relations by id in the order of seq: weights add up, the first window holds, later ends close open ones.
+
+    A stored row (seq 0) whose chunks were all taken away has no say in the window.
+    """
+    first = F.min_by(F.struct("valid_from", "valid_to"), F.when((F.col("seq") > 0) | (F.size("source_chunks") > 0), F.col("seq")))
     ends = F.min(F.when(F.col("seq") > 0, F.col("valid_to")))
     out = rows.groupBy("id").agg(
         F.min_by("src", "seq").alias("src"), F.min_by("dst", "seq").alias("dst"), F.min_by("type", "seq").alias("type"), F.sum("weight").alias("weight"), _first_seen().alias("source_chunks"),
@@ -336,6 +339,82 @@ def prune_orphans(rows: DataFrame) -> DataFrame:
     return rows.where(F.size("source_chunks") > 0)
 
 
+def recounted(entities: DataFrame, relations: DataFrame, touched: DataFrame | None = None) -> DataFrame:
+    """entities with the degrees of the touched ones (id), or of all, counted anew over open, supported relations."""
+    r = relations.where(F.size("source_chunks") > 0) if "source_chunks" in relations.columns else relations
+    x = entities.join(open_degrees(r).withColumnRenamed("degree", "open"), "id", "left")
+    hit = F.lit(True)
+    if touched is not None:
+        x, hit = x.join(touched.select("id").distinct().withColumn("hit", F.lit(True)), "id", "left"), F.col("hit")
+    return x.withColumn("degree", F.when(hit, F.coalesce("open", F.lit(0))).otherwise(F.col("degree"))).select(entities.columns)
+
+
+def _ends(relations: DataFrame) -> DataFrame:
+    return relations.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+
+
+def _put(stored: DataFrame, incoming: DataFrame, kept: dict[str, Column]) -> DataFrame:
+    """stored with the incoming rows in the place of those of the same id; `kept` says what a column takes over."""
+    old, new = stored.alias("old"), incoming.withColumn("incoming", F.lit(True)).alias("new")
+    x = old.join(new, "id", "full_outer")
+    got = F.col("new.incoming")
+    return x.select("id", *[F.when(got, kept.get(c, F.col(f"new.{c}"))).otherwise(F.col(f"old.{c}")).alias(c) for c in stored.columns if c != "id"]).select(stored.columns)
+
+
+def put_entities(entities: DataFrame, incoming: DataFrame) -> DataFrame:
+    """entities with incoming ones written over those of the same id; a degree of 0 takes the stored one."""
+    degree = F.when(F.coalesce(F.col("new.degree"), F.lit(0)) == 0, F.coalesce(F.col("old.degree"), F.lit(0))).otherwise(F.col("new.degree"))
+    return _put(entities, incoming, {"degree": degree})
+
+
+def put_relations(entities: DataFrame, relations: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables with incoming relations written over those of the same id, degrees of their ends counted anew.
+
+    A missing start, end or confidence stays as stored; `reopen` clears the end.
+    """
+    kept = {
+        "valid_from": F.coalesce("new.valid_from", "old.valid_from"),
+        "valid_to": F.when(~F.coalesce(F.col("new.reopen"), F.lit(False)), F.coalesce("new.valid_to", "old.valid_to")),
+        "confidence": F.when(F.coalesce(F.col("new.confidence"), F.lit(0.0)) == 0, F.coalesce(F.col("old.confidence"), F.lit(0.0))).otherwise(F.col("new.confidence")),
+    }
+    after = _put(relations, incoming, kept)
+    every = recounted(entities, after.drop("source_chunks"), _ends(incoming))
+    return every, after
+
+
+def upsert_relations(entities: DataFrame, relations: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables after a batch of extracted relations: conflicts close, relations merge, degrees of their ends are counted anew.
+
+    incoming: the columns of relations and seq, from 1 in the order of arrival. An open stored fact ends where
+    an incoming one of its source and type starts later with another target.
+    """
+    columns = relations.columns
+    closed = close_on_arrival(relations, incoming, F.current_timestamp()).withColumn("seq", F.lit(0))
+    touched_ids = incoming.select("id").distinct()
+    rest = closed.join(touched_ids, "id", "left_anti").drop("seq")
+    both = closed.join(touched_ids, "id", "left_semi").unionByName(incoming.select(*columns, "seq"))
+    after = rest.unionByName(merge_relations(both).select(columns))
+    every = recounted(entities, after.drop("source_chunks"), _ends(incoming))
+    return every, after
+
+
+def update_document(entities: DataFrame, relations: DataFrame, gone: list[str], new_entities: DataFrame, new_relations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entities, relations, touched ids) after a document was extracted again.
+
+    gone: the ids of its old and new chunks, whose contribution goes first; then what was extracted is
+    merged, what has no chunk left is pruned, and degrees are counted anew. touched holds the entities that
+    the new chunks name. new_entities and new_relations have seq, from 1. A relation that loses an end
+    goes with it.
+    """
+    left_e, left_r = remove_chunks(entities, gone), remove_chunks(relations, gone)
+    e = merge_entities(left_e.withColumn("seq", F.lit(0)).unionByName(new_entities.select(*entities.columns, "seq"))).select(entities.columns)
+    e, r = upsert_relations(e, left_r, new_relations)
+    e = prune_orphans(e)
+    alive = e.select("id")
+    r = prune_orphans(r).join(alive.withColumnRenamed("id", "src"), "src", "left_semi").join(alive.withColumnRenamed("id", "dst"), "dst", "left_semi").select(relations.columns)
+    return recounted(e, r), r, new_entities.select("id").union(_ends(new_relations)).distinct()
+
+
 def delete_entities(entities: DataFrame, relations: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both tables without the ids and what touches them, degrees counted anew."""
     gone = ids.select("id").distinct()
@@ -344,6 +423,13 @@ def delete_entities(entities: DataFrame, relations: DataFrame, ids: DataFrame) -
     return e, r
 
 
+def delete_relations(entities: DataFrame, relations: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables without those relations, degrees of their ends counted anew."""
+    r = relations.join(ids.select("id"), "id", "left_anti")
+    e = recounted(entities, r.drop("source_chunks"), _ends(relations.join(ids.select("id"), "id", "left_semi")))
+    return e, r
+
+
 def filtered_view(entities: DataFrame, relations: DataFrame, *, kind: str | None = None, least_degree: int = 0, text: str = "", limit: int = 200) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges): the entities of most degree that pass, 1000 at most, and the relations among them."""
     x = entities.where(F.col("degree") >= least_degree)

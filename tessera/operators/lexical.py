@@ -74,3 +74,18 @@ def top_k(chunks: DataFrame, query: str, k: int, id_col: str = "id", text_col: s
     spark = chunks.sparkSession
     q = spark.createDataFrame([(0, query)], "query_id int, query string")
     return bm25(chunks, q, k, id_col, text_col).orderBy("rank").select("id", "score")
+
+
+def match_expression(query: Column) -> Column:
+    """A query as a full-text expression: its tokens quoted and joined by OR, so that no operator gets through."""
+    return F.array_join(F.transform(tokens(query), lambda t: F.concat(F.lit('"'), F.replace(t, F.lit('"'), F.lit('""')), F.lit('"'))), " OR ")
+
+
+def full_text(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(query_id, rank, id, score) as a full-text index ranks: the better the match, the lower the score, below 0.
+
+    A query without tokens, or k of 0 or less, finds nothing.
+    """
+    if k <= 0:
+        return chunks.sparkSession.createDataFrame([], "query_id int, rank int, id string, score double")
+    return bm25(chunks, queries, k, id_col, text_col).withColumn("score", -F.col("score"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.vectors import dot
 from ..models import Chat, Embedder, Reranker, asked, embedded, reranked
 from . import dense, fusion, graph, lexical
-from .filters import Filter, filter_expr
+from .filters import Filter, expand_collection, filter_expr
+from .judge import expanded
 
 K, CANDIDATES, ROUNDS, DRIFT_COMMUNITIES, DRIFT_SEEDS = 10, 20, 3, 3, 30
 
@@ -109,12 +110,47 @@ class Engine:
         parts = asked(prompts, self.chat, "Answer from this summary, or say nothing.").where("trim(reply) <> ''").orderBy("id").collect()
         return self.chat.chat("Combine the partial answers.", "\n\n".join(r.reply for r in parts)) if parts else None
 
-    def by_set(self, query: str, variants: list[str], spec: Filter | None = None, budget: int | None = None) -> tuple[DataFrame, bool]:
+    def overall(self, query: str, k: int = K, spec: Filter | None = None) -> tuple[str, DataFrame]:
+        """(answer, sources): global mode, and where it cannot be, an answer from a local search."""
+        got = self.everywhere(query, spec)
+        if got is not None:
+            return got, self.chunks.limit(0).select(F.lit(0).alias("rank"), "id", "ref_doc_id", "text", F.lit(0.0).alias("score"))
+        return self.naive(query, k, spec)
+
+    def naive(self, query: str, k: int = K, spec: Filter | None = None) -> tuple[str, DataFrame]:
+        """(answer, sources): a local search and one call of the model over its k texts; without a model the text is empty."""
+        found = self.local(query, k, spec).persist()
+        if self.chat is None:
+            return "", found
+        texts = [f"[{r.id}] {r.text}" for r in found.orderBy("rank").select("id", "text").collect()]
+        return self.chat.chat("Answer from the context with citations.", "\n\n".join([query, *texts])), found
+
+    def search(self, query: str, k: int = K, spec: Filter | None = None, members: DataFrame | None = None, known: DataFrame | None = None, mode: str = "local") -> tuple[str, DataFrame]:
+        """(answer, sources) of a search as a user asks it, by a mode: local, lexical, drift or global.
+
+        A source that is the name of a collection (members: collection, type, name; known: the sources
+        there are) stands for all its sources.
+        """
+        if spec is not None and members is not None and known is not None:
+            names = {c for s in spec.sources for c in ([r[0] for r in expand_collection(s, members, known).collect()] or [s])}
+            spec = replace(spec, sources=tuple(sorted(names)))
+        if mode == "global":
+            return self.overall(query, k, spec)
+        if mode == "local":
+            return self.naive(query, k, spec)
+        found = (self.drift if mode == "drift" else self.lexical_only)(query, k, spec).persist()
+        texts = [r.text for r in found.orderBy("rank").select("text").collect()]
+        return (self.chat.chat("Answer from the context with citations.", "\n\n".join([query, *texts])) if self.chat is not None else ""), found
+
+    def by_set(self, query: str, variants: list[str] | None, spec: Filter | None = None, budget: int | None = None) -> tuple[DataFrame, bool]:
         """Set mode: the best chunk of each document over the question and its variants, and whether nothing more came.
 
         Rounds go on until one adds no document or the variants end, three at most. Each looks at `budget`
         candidates a leg, all chunks by default, and makes no cap by document. Summaries are no documents.
+        Without variants the model is asked for them.
         """
+        if variants is None:
+            variants = [q for q in expanded(query, self.chat) if q != query]
         n = max(4 * CANDIDATES, self.chunks.count()) if budget is None else budget
         best, known, saturated = None, 0, False
         for k in range(ROUNDS):

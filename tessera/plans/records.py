@@ -13,6 +13,7 @@ from ..functions.vectors import dot
 from ..operators import evaluate as E
 from ..operators import filters as Q
 from ..operators import graph as G
+from ..operators import history, lexical
 from ..operators import lineage as V
 from ..operators import retrieve, views
 from ..operators.ask import levels
@@ -303,3 +304,97 @@ def html_text(spark: SparkSession, at: str) -> DataFrame:
             yield pd.DataFrame({"page_id": f["page_id"], "title": [g[0] for g in got], "body": [g[1] for g in got]})
 
     return table(spark, at, "pages").select("page_id", "url", "html").mapInPandas(run, "page_id long, title string, body string")
+
+
+def _searches(spark: SparkSession, at: str) -> DataFrame:
+    """Events as searches; purchases are rated up, errors of every other user down, some without the time of it."""
+    e = table(spark, at, "events")
+    ts = F.col("ts").cast("timestamp_ntz")
+    vote = F.when(F.col("event_id") % 3 == 0, 1).when(F.col("event_id") % 3 == 1, -1).otherwise(0)
+    return e.select(F.col("event_id").alias("id"), F.col("event_type").alias("query"), F.array(F.col("user_id").cast("string")).alias("document_ids"), ts.alias("created_at"), vote.alias("feedback"), F.when(F.col("event_id") % 2 == 0, ts + F.expr("interval 1 hour")).alias("feedback_at"))
+
+
+@R.query("select event_id as id, event_type as query, ts as created_at from events order by ts desc, event_id desc limit 20")
+def history_newest(spark: SparkSession, at: str) -> DataFrame:
+    return history.newest(_searches(spark, at), 0).select("id", "query", "created_at")
+
+
+@R.query("""select event_id as id, event_type as query, cast(user_id as varchar) as document, case when event_id % 3 = 0 then 'relevant' else 'not_relevant' end as label,
+case when event_id % 2 = 0 then ts + interval 1 hour else ts end as labelled_at from events where event_id % 3 <> 2""")
+def labelled_examples(spark: SparkSession, at: str) -> DataFrame:
+    return history.labelled(_searches(spark, at)).select("id", "query", F.array_join("document_ids", ",").alias("document"), "label", "labelled_at")
+
+
+@R.query("""with c as (select l_orderkey as q, l_partkey as a from lineitem), k as (select distinct q, a from c where a % 10 < 8),
+m as (select 'nhsr' as metric, (select count(*) from k where a % 10 < 6) as passed, (select count(*) from k) + (select count(*) from c where a % 10 = 9) as total
+union all select 'srr', count(*) filter (where q % 2 = 0), count(*) from k where a % 3 = 0
+union all select 'lct', count(*) filter (where o_orderkey % 5 > 0), count(*) from orders)
+select metric, cast(passed as bigint) as passed, cast(total as bigint) as total, passed / total as rate from m""")
+def legal_metrics(spark: SparkSession, at: str) -> DataFrame:
+    """Order lines as citations of parts: of the last digits 0 to 7 known articles, 6 and 7 out of force, 8 rulings, 9 unknown."""
+    p = F.col("p_partkey")
+    parts = table(spark, at, "part")
+    articles = parts.where(p % 10 < 8).select(p.alias("article"), (p % 10 < 6).alias("current"))
+    cited = table(spark, at, "lineitem").select(F.col("l_orderkey").alias("question_id"), F.col("l_linenumber").alias("position"), F.col("l_partkey").alias("article"))
+    judged = cited.where("article % 3 = 0").select("question_id", "article", (F.col("question_id") % 2 == 0).alias("passed")).distinct()
+    claims = table(spark, at, "orders").select(F.col("o_orderkey").alias("question_id"), (F.col("o_orderkey") % 5 > 0).alias("passed"))
+    return E.legal_report(cited, articles, parts.where(p % 10 == 8).select(p.alias("article")), judged, claims)
+
+
+@R.query("select max(o_orderdate) as as_of from orders")
+def legal_as_of(spark: SparkSession, at: str) -> DataFrame:
+    return E.legal_as_of(table(spark, at, "orders").select(F.col("o_custkey").alias("article"), F.col("o_orderdate").alias("date")))
+
+
+@R.query("select cast(doc_id as varchar) as id, source, 'Q ' || doc_id as question, 'lang ' || coalesce(lang, '-') as expected from documents where doc_id % 2 = 0 and doc_id % 3 = 0 and doc_id % 5 <> 0")
+def golden_issues(spark: SparkSession, at: str) -> DataFrame:
+    d = F.col("doc_id")
+    x = table(spark, at, "documents").select(
+        d.cast("string").alias("id"), "source", F.when(d % 2 == 0, "issue").otherwise("md").alias("kind"), F.when(d % 5 == 0, " ").otherwise(F.concat(F.lit(" Q "), d.cast("string"))).alias("title"),
+        F.concat(F.lit("lang "), F.coalesce("lang", F.lit("-")), F.lit("\n")).alias("body"), F.create_map(F.lit("state"), F.when(d % 3 == 0, "closed").otherwise("open")).alias("frontmatter"),
+    )
+    return E.golden_set(x)
+
+
+@R.query("""select p_partkey, array_to_string(list_transform(regexp_extract_all(lower(p_name), '[a-z0-9]+'), lambda t: '"' || t || '"'), ' OR ') as expression from part""")
+def match_expressions(spark: SparkSession, at: str) -> DataFrame:
+    raw = F.concat(F.lit('"('), F.col("p_name"), F.lit('*" )'))
+    return table(spark, at, "part").select("p_partkey", lexical.match_expression(raw).alias("expression"))
+
+
+_PLAIN = ["id", "src", "dst", "type", "weight", "confidence", "valid_from", "valid_to", "source_chunks"]
+
+
+def _no_entities(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "id string, name string, type string, description string, source_chunks array<string>, degree long")
+
+
+@R.query(f"with {FACTS} select id, case when id % 10 = 0 then 5.0 else 1.0 end as weight, 0.5 as confidence, valid_from, case when id % 20 <> 0 then valid_to end as valid_to from facts")
+def relations_put(spark: SparkSession, at: str) -> DataFrame:
+    x = _facts(spark, at).select(_PLAIN)
+    new = x.where("id % 10 = 0").withColumns({"weight": F.lit(5.0), "confidence": F.lit(0.0), "valid_from": F.lit(None).cast("timestamp"), "valid_to": F.lit(None).cast("timestamp"), "reopen": F.col("id") % 20 == 0})
+    return G.put_relations(_no_entities(spark), x, new)[1].select("id", "weight", "confidence", "valid_from", "valid_to")
+
+
+_UPSERTED = f"""{FACTS}, new as (select id - 1 as id, src, dst, type, valid_from, valid_to, chunk from facts where id % 100 = 0),
+old as (select f.id, f.src, f.dst, f.valid_from, f.chunk, coalesce(f.valid_to, (select min(n.valid_from) from new n where n.src = f.src and n.type = f.type and n.dst <> f.dst and n.valid_from > f.valid_from)) as valid_to from facts f where f.id % 100 <> 0),
+r as (select coalesce(o.id, n.id) as id, coalesce(o.src, n.src) as src, coalesce(o.dst, n.dst) as dst, case when o.id is null or n.id is null then 1.0 else 2.0 end as weight,
+  case when o.id is null then n.valid_to else coalesce(o.valid_to, case when n.valid_to > o.valid_from then n.valid_to end) end as valid_to, concat_ws(',', o.chunk, n.chunk) as chunks from old o full outer join new n on o.id = n.id)"""
+
+
+def _upserted(spark: SparkSession, at: str) -> tuple[DataFrame, DataFrame]:
+    """Every hundredth fact as a new one, under the id of the fact before it."""
+    x = _facts(spark, at).select(_PLAIN)
+    new = x.where("id % 100 = 0").withColumns({"id": F.col("id") - 1, "seq": F.col("id") + 1})
+    users = x.where("id % 100 <> 0").select(F.col("src").alias("id"), F.lit("").alias("name"), F.lit("").alias("type"), F.lit("").alias("description"), F.array(F.lit("c")).alias("source_chunks"), F.lit(-1).cast("long").alias("degree")).distinct()
+    return G.upsert_relations(users, x.where("id % 100 <> 0"), new)
+
+
+@R.query(f"with {_UPSERTED} select id, src, dst, weight, valid_to, chunks from r")
+def relations_upserted(spark: SparkSession, at: str) -> DataFrame:
+    return _upserted(spark, at)[1].select("id", "src", "dst", "weight", "valid_to", F.array_join("source_chunks", ",").alias("chunks"))
+
+
+@R.query(f"with {_UPSERTED} select u.id, case when u.id in (select src from new) then (select count(*) from r where r.src = u.id and r.valid_to is null) else -1 end as degree from (select distinct src as id from facts where id % 100 <> 0) u")
+def degrees_after_upsert(spark: SparkSession, at: str) -> DataFrame:
+    return _upserted(spark, at)[0].select("id", "degree")
