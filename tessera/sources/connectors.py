@@ -108,6 +108,8 @@ SERVICES = {
     for s in (
         Service("github", "https://api.github.com/repos/{repo}/issues", "", {"id": "number", "title": "title", "url": "html_url", "updated_at": "updated_at", "body": "body"}, Pager("link"), "since", timedelta(seconds=1), {"state": "all", "per_page": "100"}, kind="issue"),
         Service("gitlab", "{base}/api/v4/projects/{project}/issues", "", {"id": "iid", "title": "title", "url": "web_url", "updated_at": "updated_at", "body": "description"}, Pager("header", "page", "X-Next-Page"), "updated_after", timedelta(seconds=1), {"per_page": "100"}, kind="issue"),
+        Service("gitlab-merge-requests", "{base}/api/v4/projects/{project}/merge_requests", "", {"id": "iid", "title": "title", "url": "web_url", "updated_at": "updated_at", "body": "description"}, Pager("header", "page", "X-Next-Page"), "updated_after", timedelta(seconds=1), {"scope": "all", "state": "all", "per_page": "100"}, kind="merge-request"),
+        Service("gitlab-wiki", "{base}/api/v4/projects/{project}/wikis", "", {"id": "slug", "title": "title", "body": "content"}, Pager(), params={"with_content": "1"}, reconcile="always"),
         Service("mediawiki", "{base}/api.php", "query.pages", {"id": "pageid", "title": "title", "updated_at": "revisions.0.timestamp", "body": "revisions.0.slots.main.*"}, Pager("cursor", "grccontinue", "continue.grccontinue"), "grcend", timedelta(0), {"action": "query", "generator": "recentchanges", "prop": "revisions", "rvprop": "content|timestamp", "rvslots": "main", "format": "json"}, "never"),
         Service("confluence", "{base}/rest/api/content/search", "results", {"id": "id", "title": "title", "url": "_links.webui", "updated_at": "version.when", "body": "body.storage.value"}, Pager("next", path="_links.next"), "cql", params={"expand": "body.storage,version"}, asks='lastmodified >= "{cursor}"'),
         Service("slack", "https://slack.com/api/conversations.history", "messages", {"id": "ts", "title": "user", "updated_at": "ts", "body": "text"}, Pager("cursor", "cursor", "response_metadata.next_cursor"), "oldest", kind="message"),
