@@ -57,6 +57,19 @@ def test_sharding_contract(spark):
     assert sharding.shard_rows(empty(spark), "doc_id", "text", [1.0] * 8).count() == 0
 
 
+def brute_shard(key, weights):
+    k = "null" if key is None else f"k{key}"
+    score = [-w / math.log(((xxhash.xxh64_intdigest(f"{k}\0{i}".encode(), 42) >> 11) + 0.5) / 2**53) for i, w in enumerate(weights)]
+    return score.index(max(score))
+
+
+@pytest.mark.parametrize("weights", [[1.0] * 8, [0.5, 3.0, 1.0]])
+def test_shards_are_those_of_brute_force(spark, weights):
+    x = sample(spark, 500).union(docs(spark).select("doc_id", "text"))
+    for r in sharding.shard_rows(x, "doc_id", "text", weights).collect():
+        assert (r.shard, r.grown_shard) == (brute_shard(r.key, weights), brute_shard(r.key, [*weights, 1.0]))
+
+
 def test_sharding_follows_weights_and_key(spark):
     x = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     n = {r.shard: r["count"] for r in sharding.shard_rows(x, "doc_id", "text", [1.0, 1.0, 2.0]).groupBy("shard").count().collect()}
@@ -314,15 +327,31 @@ def test_language_held_out_accuracy(spark):
     assert held.where("score < 0 or score > 1").count() == 0
 
 
-def test_language_is_out_of_place_distance():
-    ranked = {"a": np.array([5, 3, 9]), "b": np.array([9, 7])}
-    p = language.Profiles(ranked, size=10)
-    mine = np.array([9, 5, 4])
-    at = np.searchsorted(p.codes, mine)
-    brute = {k: sum(abs(list(v).index(c) - i) if c in v else 10 for i, c in enumerate(mine)) for k, v in ranked.items()}
-    at[p.codes[np.minimum(at, len(p.codes) - 1)] != mine] = len(p.codes)
-    place = p.places[at]
-    assert dict(zip(p.langs, np.where(place < 0, 10, np.abs(place - np.arange(3)[:, None])).sum(0).tolist(), strict=True)) == brute
+def brute_ranking(texts):
+    """The PROFILE most frequent n-grams of texts, most frequent first, ties by their characters' numbers."""
+    n = Counter()
+    for t in texts:
+        low = [c.lower() if len(c.lower()) == 1 else c for c in t]
+        words = "".join(c if o.isalpha() else " " for c, o in zip(low, t, strict=True)).split()
+        if words:
+            marked = "\x01" + "\x01".join(words) + "\x01"
+            n.update(g for k in (1, 2, 3) for i in range(len(marked) - k + 1) if (g := marked[i : i + k]) != "\x01")
+    code = lambda g: sum(ord(c) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+    return sorted(n, key=lambda g: (-n[g], code(g)))[: language.PROFILE]
+
+
+def test_language_matches_brute_force(spark):
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{AT}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    third = {i: zlib.crc32(str(i).encode()) % 3 for i, _, _ in rows}
+    langs = sorted({k for i, _, k in rows if third[i] != 1 and k is not None})
+    places = {k: {g: p for p, g in enumerate(brute_ranking([t for i, t, v in rows if v == k and third[i] != 1 and t is not None]))} for k in langs}
+    x = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.with_language(x, "text", language.profiles(x.where(language.of_third("doc_id") != 1), "text", "lang"))
+    for r in got.collect():
+        mine = brute_ranking([r.text or ""])
+        far = {k: sum(abs(places[k][g] - i) if g in places[k] else language.PROFILE for i, g in enumerate(mine)) for k in langs}
+        want = (min(langs, key=lambda k: (far[k], k)), 1 - min(far.values()) / (language.PROFILE * len(mine))) if mine else ("und", 0.0)
+        assert (r.lang_pred, r.score) == (want[0], pytest.approx(want[1])), r.doc_id
 
 
 def test_language_edges(spark):
@@ -454,6 +483,41 @@ def test_packing_is_best_fit(lengths):
             at += n
 
 
+def brute_pack(lengths, sizes):
+    """Every bin is looked at for every piece, and every size for every bin that opens."""
+    left, bins, room, used = list(lengths), {}, [], []
+    for k in sorted(range(len(lengths)), key=lambda k: (-lengths[k], k)):
+        n = lengths[k]
+        left.remove(n)
+        fits = [b for b, free in enumerate(room) if free > 0 and free >= n]
+        if fits:
+            b = min(fits, key=lambda b: (room[b], -b))
+        else:
+            mean = sum(left) / len(left) if left else 0
+
+            def rate(s, n=n, mean=mean):
+                held = n
+                while mean > 0 and held + mean <= s + 1e-9:
+                    held += mean
+                return ((min(z for z in sizes if z >= held - 1e-9) + packing.BIN_COST) / max(held, 1), -s)
+
+            b = len(room)
+            room.append(min((s for s in sizes if s >= n), key=rate))
+            used.append(0)
+        bins[k] = b
+        room[b] -= n
+        used[b] += n
+    return [bins[k] for k in range(len(lengths))], [min(s for s in sizes if s >= u) for u in used]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from([0, 1, 2, 4, 8, 16, 20, 32, 48, 64]), max_size=50))
+def test_packing_matches_brute_force(lengths):
+    bins, _, final = packing.pack(lengths, [16, 32, 64])
+    want, sizes = brute_pack(lengths, [16, 32, 64])
+    assert (bins.tolist(), final) == (want, sizes)
+
+
 def test_least_cost_size():
     assert packing.cheapest(60, [16, 32, 64], 0) == 64
     assert packing.cheapest(40, [16, 32, 64], 30, cost=0) == 64
