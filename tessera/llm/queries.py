@@ -164,8 +164,21 @@ def op10_toxicity_chain(spark: SparkSession, at: str) -> DataFrame:
     return with_toxicity(docs.select("doc_id", "text"), "text", fitted_chain(docs, _table(spark, at, "labels")), "toxic").drop("text")
 
 
+def op11_importance_resampling(spark: SparkSession, at: str) -> DataFrame:
+    from .resampling import resample
+
+    docs, target = _table(spark, at, "documents"), _table(spark, at, "benchmark")
+    return resample(docs, target, "doc_id", "text", "text", n=1, buckets=10_000, least_words=20, percent=10, seed="2024").withColumnRenamed("id", "doc_id")
+
+
+def op13_license_scan(spark: SparkSession, at: str) -> DataFrame:
+    from .notices import license_report, scan_notices
+
+    return license_report(scan_notices(_table(spark, at, "documents"), "doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_rendezvous_shards, op2_tool_call_linking, op3_simhash_near_dedup, op4_piece_encoding, op5_rank_order_language, op6_repeat_removal, op7_term_at_a_time, op8_variable_best_fit, op9_nn_descent, op10_toxicity_chain)}
+    return {f.__name__: f for f in (op1_rendezvous_shards, op2_tool_call_linking, op3_simhash_near_dedup, op4_piece_encoding, op5_rank_order_language, op6_repeat_removal, op7_term_at_a_time, op8_variable_best_fit, op9_nn_descent, op10_toxicity_chain, op11_importance_resampling, op13_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
