@@ -171,6 +171,30 @@ def op11_importance_resampling(spark: SparkSession, at: str) -> DataFrame:
     return resample(docs, target, "doc_id", "text", "text", n=1, buckets=10_000, least_words=20, percent=10, seed="2024").withColumnRenamed("id", "doc_id")
 
 
+def op12_keyed_upsert(spark: SparkSession, at: str) -> DataFrame:
+    from pyspark.sql import Column
+    from pyspark.sql import functions as F
+
+    from .upsert import file_digests, new_folder, start_files, upsert
+
+    clients, changes = _table(spark, at, "clients"), _table(spark, at, "client_changes")
+
+    def crc(x: Column) -> Column:
+        return F.crc32(F.coalesce(x.cast("string"), F.lit("")).cast("binary"))
+
+    def verdict(change: Column, home_first: Column) -> Column:
+        h = crc(home_first) % 16
+        return F.when(h > 7, "ignore").when((change.getField("op") == "D") | (crc(change.getField("change_id")) % 8 < h), "delete").otherwise("set")
+
+    most, folder = 1 + clients.count() // 1000, new_folder(spark, "op12")
+    started = start_files(clients.where(crc(F.col("client_id")) % 7 > 3), "client_id", most, folder)
+    files = upsert(started, folder, clients, changes, "client_id", ["seq", "change_id"], ["source", "segment", "city", "balance"], verdict, most)
+    cents = F.coalesce(F.floor(100 * F.col("balance") + 0.5), F.lit(0)).cast("long")
+    shown = F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in ("source", "segment", "city")])
+    told = file_digests(files, clients, "client_id", {"cents": cents, "rows_crc": crc(shown)})
+    return told.withColumn("columns", F.lit(",".join(clients.columns)))
+
+
 def op13_license_scan(spark: SparkSession, at: str) -> DataFrame:
     from .notices import license_report, scan_notices
 
@@ -178,7 +202,7 @@ def op13_license_scan(spark: SparkSession, at: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_rendezvous_shards, op2_tool_call_linking, op3_simhash_near_dedup, op4_piece_encoding, op5_rank_order_language, op6_repeat_removal, op7_term_at_a_time, op8_variable_best_fit, op9_nn_descent, op10_toxicity_chain, op11_importance_resampling, op13_license_scan)}
+    return {f.__name__: f for f in (op1_rendezvous_shards, op2_tool_call_linking, op3_simhash_near_dedup, op4_piece_encoding, op5_rank_order_language, op6_repeat_removal, op7_term_at_a_time, op8_variable_best_fit, op9_nn_descent, op10_toxicity_chain, op11_importance_resampling, op12_keyed_upsert, op13_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
