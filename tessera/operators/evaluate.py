@@ -197,17 +197,17 @@ def golden_set(documents: DataFrame, source: str = "") -> DataFrame:
     return x.where("question <> '' and expected <> ''")
 
 
-def most_within(seconds_each: float, budget: float, pool: int | None = None) -> int:
-    """How many items of so many seconds a budget of seconds allows, at most the pool; 0 where a number is not above 0."""
-    if seconds_each <= 0 or budget <= 0 or (pool is not None and pool <= 0):
-        return 0
-    n = int(budget / seconds_each)
-    while n > 0 and n * seconds_each > budget:
-        n -= 1
-    return n if pool is None else min(n, pool)
+def with_affordable(stages: DataFrame, budget: float, seconds: str = "seconds", pool: str = "pool") -> DataFrame:
+    """stages with column affordable: as many of a stage's items as the budget, in seconds, pays for.
+
+    A stage names the seconds of an item and the items there are (null: no bound). Null, negative or zero
+    seconds or budgets afford none.
+    """
+    paid = F.floor(F.lit(budget) / F.nullif(F.greatest(F.col(seconds), F.lit(0.0)), F.lit(0.0))).cast("long")
+    return stages.withColumn("affordable", F.greatest(F.coalesce(F.when(paid.isNotNull(), F.least(paid, F.col(pool))), F.lit(0)), F.lit(0)))
 
 
-#: Rungs of the evolution ladder: the answer mode, and what each switches on beyond the rung before it.
+#: Fixed values, rungs of the evolution ladder: the answer mode, and what each switches on beyond the rung before it.
 LADDER = (
     ("native", "naive", ()),
     ("hybrid", "naive", ("hybrid",)),

@@ -54,9 +54,13 @@ def new_versions(chunks: DataFrame, incoming: DataFrame, now: Column) -> DataFra
     return new.select([c for c in chunks.columns if c in new.columns])
 
 
-def replace_by_doc(chunks: DataFrame, incoming: DataFrame, now: Column) -> DataFrame:
-    """Closes the active chunks of the incoming documents and adds the incoming as new versions."""
-    return soft_close(chunks, incoming, now).unionByName(new_versions(chunks, incoming, now), allowMissingColumns=True)
+def replace_by_doc(chunks: DataFrame, incoming: DataFrame, now: Column, docs: DataFrame | None = None) -> DataFrame:
+    """Closes the active chunks of the documents (ref_doc_id, by default those of incoming) and adds the incoming as new versions.
+
+    A document that became empty has no incoming chunks, so docs has to name it.
+    """
+    replaced = incoming if docs is None else docs
+    return soft_close(chunks, replaced, now).unionByName(new_versions(chunks, incoming, now), allowMissingColumns=True)
 
 
 def delete_docs(chunks: DataFrame, docs: DataFrame) -> DataFrame:

@@ -108,12 +108,14 @@ def _versions(spark: SparkSession, at: str) -> DataFrame:
 
 @R.query("""with old as (select user_id, event_type, max(event_id) filter (where true) as x, count(*) as n, arg_max(cast(event_id as varchar), (ts, cast(event_id as varchar))) as last from events group by all),
 new as (select distinct user_id, event_type from events where user_id % 10 = 0)
-select cast(event_id as varchar) as id, user_id as ref_doc_id, event_type as chunk_index, case when user_id % 10 = 0 then timestamp '2024-03-01 00:00:00' end as valid_to, null as replaces from events
+select cast(event_id as varchar) as id, user_id as ref_doc_id, event_type as chunk_index, case when user_id % 10 in (0, 5) then timestamp '2024-03-01 00:00:00' end as valid_to, null as replaces from events
 union all select user_id || '#' || event_type || '#' || (n + 1), user_id, event_type, null, last from new join old using (user_id, event_type)""")
 def scd2_replace(spark: SparkSession, at: str) -> DataFrame:
+    """Every tenth document gets new versions of its chunks, every other fifth becomes empty."""
     x = _versions(spark, at)
     new = x.where("ref_doc_id % 10 = 0").select("ref_doc_id", "chunk_index").distinct()
-    return V.replace_by_doc(x, new, F.lit("2024-03-01").cast("timestamp")).drop("created_at")
+    replaced = x.where("ref_doc_id % 5 = 0").select("ref_doc_id").distinct()
+    return V.replace_by_doc(x, new, F.lit("2024-03-01").cast("timestamp"), replaced).drop("created_at")
 
 
 @R.query("select cast(event_id as varchar) as id, row_number() over (partition by user_id, event_type order by ts, cast(event_id as varchar)) as version from events")

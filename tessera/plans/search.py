@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,8 @@ from ..operators import dense as D
 from ..operators import fusion as U
 from ..operators import lexical as L
 from ..operators.filters import Filter, TimeRange, filter_expr, merge_and
+from ..operators.termindex import TermIndex
+from ..session import ensure_checkpoint_dir
 from .adapters import CHUNKS, COSINE, bm25_sql, chunks, queries_of, vectors
 from .registry import Registry, table
 
@@ -179,3 +182,17 @@ def intra_doc_budget(spark: SparkSession, at: str) -> DataFrame:
     x = chunks(spark, at)
     hits = L.bm25(x, spark.sql(f"select 0 as query_id, '{WORDS}' as query"), 10).drop("query_id")
     return _rounded(U.expand_documents(hits.join(x, "id"), x, 12000, 30))
+
+
+@R.query()
+def kept_index_topk(spark: SparkSession, at: str) -> DataFrame:
+    """The best chunks by an index of two batches: all texts, then every fourth with the question's words added and every fifth less one gone.
+
+    It writes the index into a folder of its own, so it has no SQL.
+    """
+    docs = table(spark, at, "documents").select(F.col("doc_id").alias("id"), "text")
+    index = TermIndex(spark, f"{ensure_checkpoint_dir(spark)}/term-index-{uuid.uuid4().hex}")
+    index.add(0, docs)
+    index.add(1, docs.where("id % 4 = 0").withColumn("text", F.concat("text", F.lit(f" {WORDS}"))), docs.where("id % 5 = 1"))
+    found = index.search(spark.createDataFrame([(0, WORDS)], "query_id int, query string"), 20)
+    return _rounded(found.select("rank", "id", "score"))

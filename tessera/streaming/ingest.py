@@ -102,25 +102,28 @@ class ChunkLog:
                 fs.delete(path, True)
 
 
-def new_chunks(documents: DataFrame, chunks: DataFrame, now, size: int = 512, overlap: int = 64) -> DataFrame:
-    """The rows that a batch of documents (id, source, kind, body, frontmatter) adds to the chunk table.
+def changed_documents(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Documents (id, source, kind, body, frontmatter) of a batch that are not stored as they are, with ref_doc_id and hash.
 
-    Unchanged documents are skipped by hash, changed ones get new versions, and a batch that holds a
-    document twice keeps the one that sorts last.
+    A batch that holds a document twice keeps the one that sorts last. A document without text is changed, too:
+    it closes what is stored of it and adds no chunks.
     """
     docs = documents.groupBy("id").agg(F.max_by(F.struct("updated_at", "body", "source", "kind", "frontmatter"), F.struct("updated_at", "body", "source", "kind")).alias("d")).select("id", "d.*")
     docs = docs.withColumns({"ref_doc_id": F.col("id"), "hash": document_hash(F.col("kind"), F.col("body"), F.col("frontmatter"))})
-    stored = chunks.where("valid_to is null").select("ref_doc_id", "hash").distinct()
-    new = lineage.changed(docs, stored)
-    parts = new.select("ref_doc_id", "source", "hash", F.posexplode(chunking.packed_sentences(chunking.sentences(F.col("body")), size, overlap)).alias("chunk_index", "text"))
+    return lineage.changed(docs, chunks.where("valid_to is null").select("ref_doc_id", "hash").distinct())
+
+
+def new_chunks(changed: DataFrame, chunks: DataFrame, now, size: int = 512, overlap: int = 64) -> DataFrame:
+    """The rows that changed documents add to the chunk table, as new versions."""
+    parts = changed.select("ref_doc_id", "source", "hash", F.posexplode(chunking.packed_sentences(chunking.sentences(F.col("body")), size, overlap)).alias("chunk_index", "text"))
     parts = parts.withColumn("token_count", estimate_tokens(F.col("text")))
     return lineage.new_versions(chunks, parts, now)
 
 
 def index_batch(documents: DataFrame, chunks: DataFrame, now, size: int = 512, overlap: int = 64) -> DataFrame:
     """The whole chunk table after a batch of documents."""
-    new = new_chunks(documents, chunks, now, size, overlap)
-    return lineage.soft_close(chunks, new, now).unionByName(new).select(chunks.columns)
+    changed = changed_documents(documents, chunks)
+    return lineage.soft_close(chunks, changed, now).unionByName(new_chunks(changed, chunks, now, size, overlap)).select(chunks.columns)
 
 
 def batch_writer(store: ChunkLog, tombstones: Callable[[], DataFrame] | None = None, also: Callable[[DataFrame, int], None] | None = None) -> Callable[[DataFrame, int], None]:
@@ -137,9 +140,9 @@ def batch_writer(store: ChunkLog, tombstones: Callable[[], DataFrame] | None = N
             docs = lineage.not_tombstoned(docs, tombstones())
             removed = tombstones().select("source", F.col("id").alias("ref_doc_id")).distinct()
             gone = removed.join(chunks.select("source", "ref_doc_id"), ["source", "ref_doc_id"], "left_semi")
-        added = new_chunks(docs, chunks, store.time(number)).persist()
-        store.append(number, added, added.select("ref_doc_id").distinct(), gone)
-        added.unpersist()
+        changed = changed_documents(docs, chunks).persist()
+        store.append(number, new_chunks(changed, chunks, store.time(number)), changed.select("ref_doc_id"), gone)
+        changed.unpersist()
         if also is not None:
             also(batch, number)
         batch.unpersist()

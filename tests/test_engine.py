@@ -67,6 +67,23 @@ def test_ingest_is_replayable(spark, tmp_path):
     assert [r.replaces for r in store.read().where("id = 'a#0#2'").collect()] == ["a#0"]
 
 
+def test_emptied_documents_are_closed(spark, tmp_path):
+    schema = "id string, source string, kind string, body string, frontmatter map<string,string>, updated_at timestamp"
+    batch = lambda *rows: spark.createDataFrame([(i, "s", "md", b, {}, None) for i, b in rows], schema)
+    store = ChunkLog(spark, str(tmp_path / "log"))
+    run = batch_writer(store)
+    active = lambda: {r.id for r in store.read().where("valid_to is null").collect()}
+    run(batch(("a", "One."), ("b", "Two."), ("c", "Three."), ("d", "")), 0)
+    now = F.lit("2024-01-01").cast("timestamp")
+    emptied = batch(("a", ""), ("b", None), ("c", "Three."))
+    assert [r.id for r in index_batch(emptied, store.read(), now).where("valid_to is null").collect()] == ["c#0"]
+    run(emptied, 1)
+    assert active() == {"c#0"} and store.read().count() == 3
+    run(emptied, 2)
+    run(batch(("a", "One.")), 3)
+    assert active() == {"a#0#2", "c#0"}
+
+
 def test_log_of_batches(spark, tmp_path):
     schema = "id string, source string, kind string, body string, frontmatter map<string,string>, updated_at timestamp"
     batch = lambda *rows: spark.createDataFrame([(i, "s", "md", b, {}, None) for i, b in rows], schema)

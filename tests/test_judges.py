@@ -50,8 +50,10 @@ def test_generated_questions_are_grounded(spark):
     assert [r.id for r in judge.generated_questions(rows, chat).collect()] == ["a"]
 
 
-def test_budgets_and_ladder():
-    assert evaluate.most_within(10, 100, 7) == 7 and evaluate.most_within(10, 99) == 9 and evaluate.most_within(0, 99) == 0 and evaluate.most_within(1, 0) == 0 and evaluate.most_within(1, 9, 0) == 0
+def test_budgets_and_ladder(spark):
+    stages = spark.createDataFrame([(10.0, 7), (10.0, None), (0.0, None), (None, 3), (1.0, 0), (-1.0, 5)], "seconds double, pool long")
+    assert [r.affordable for r in evaluate.with_affordable(stages, 99.0).collect()] == [7, 9, 0, 0, 0, 0]
+    assert [r.affordable for r in evaluate.with_affordable(stages, 0.0).collect()] == [0] * 6
     rungs = evaluate.ladder()
     assert [r[0] for r in rungs] == ["native", "hybrid", "graph", "rerank", "logic", "temporal", "qualifiers"]
     assert rungs[0][2] == frozenset() and rungs[4][1:] == ("got", rungs[3][2]) and all(a[2] <= b[2] for a, b in zip(rungs, rungs[1:], strict=False)) and "qualifier_filter" in rungs[-1][2]
