@@ -6,15 +6,13 @@ relations: id, src, dst, type, weight, valid_from, valid_to, ... and source_chun
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normal_name, query_ngrams
 from ..session import ensure_checkpoint_dir
 from .components import components
+from .modularity import LADDER, leiden
 
 HOPS, TOP_NEIGHBOURS, TOP_COMMUNITIES, ROOT_COMMUNITIES = 2, 15, 3, 20
 
@@ -227,103 +225,14 @@ def label_propagation(edges: DataFrame, rounds: int = 20) -> DataFrame:
     return now
 
 
-def louvain(nodes: list, edges: list[tuple], resolution: float = 1.0) -> dict:
-    """Communities of one component by modularity: local moves, then levels of merged nodes, in sorted order."""
-    belongs = {n: n for n in nodes}
-    graph: dict = {n: {} for n in nodes}
-    for u, v, w in edges:
-        graph[u][v] = graph[u].get(v, 0.0) + w
-        graph[v][u] = graph[v].get(u, 0.0) + w
-    total = sum(sum(x.values()) for x in graph.values())
-    while total > 0:
-        degree = {n: sum(x.values()) for n, x in graph.items()}
-        of = {n: n for n in graph}
-        weight = dict(degree)
-        moved = improved = True
-        while moved:
-            moved = False
-            for n in sorted(graph):
-                links: dict = {}
-                for m, w in graph[n].items():
-                    if m != n:
-                        links[of[m]] = links.get(of[m], 0.0) + w
-                weight[of[n]] -= degree[n]
-                gain = lambda c: links.get(c, 0.0) - resolution * weight[c] * degree[n] / total  # noqa: B023, E731
-                best = max(sorted({*links, of[n]}), key=lambda c: (gain(c), c == of[n]))
-                if best != of[n] and gain(best) > gain(of[n]) + 1e-12:
-                    of[n], moved = best, True
-                weight[of[n]] += degree[n]
-        if len(set(of.values())) == len(graph):
-            improved = False
-        belongs = {n: of[c] for n, c in belongs.items()}
-        if not improved:
-            break
-        merged: dict = {c: {} for c in set(of.values())}
-        for n, x in graph.items():
-            for m, w in x.items():
-                merged[of[n]][of[m]] = merged[of[n]].get(of[m], 0.0) + w
-        graph = merged
-    first: dict = {}
-    for n in sorted(belongs):
-        first.setdefault(belongs[n], n)
-    return {n: first[c] for n, c in belongs.items()}
-
-
-def communities(entities: DataFrame, relations: DataFrame) -> DataFrame:
-    """(id, community): Louvain within each connected component; an entity without edges is one of its own.
-
-    Each component's edges meet in a task. Components beyond a task's memory need label_propagation.
-    """
-    comp = connected(entities, relations)
-    e = consolidated_edges(relations).join(comp.withColumnRenamed("id", "u"), "u")
-    kind = entities.schema["id"].dataType.simpleString()
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        got = louvain(sorted({*frame["u"], *frame["v"]}), list(zip(frame["u"], frame["v"], frame["weight"], strict=True)))
-        return pd.DataFrame({"id": list(got), "community": list(got.values())})
-
-    found = e.groupBy("component").applyInPandas(run, f"id {kind}, community {kind}")
-    return entities.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("community", "id").alias("community"))
+def communities(entities: DataFrame, relations: DataFrame, tolerance: float = 0.0) -> DataFrame:
+    """(id, community) by modularity, as Louvain has it; an entity without edges is a community of its own."""
+    return leiden(entities, consolidated_edges(relations), (1.0,), tolerance, refine=False).select("id", "community")
 
 
-def leiden_levels(entities: DataFrame, relations: DataFrame, resolutions: tuple[float, ...] = (0.5, 1.0, 2.0)) -> DataFrame:
-    """(level, id, community): a hierarchy from coarse to fine; a level equal to the one before is left out.
-
-    A level's communities are those connected parts that its resolution gives, so none is disconnected.
-    """
-    comp = connected(entities, relations)
-    e = consolidated_edges(relations).join(comp.withColumnRenamed("id", "u"), "u")
-    kind = entities.schema["id"].dataType.simpleString()
-
-    def run(frame: pd.DataFrame) -> Iterator[pd.DataFrame] | pd.DataFrame:
-        nodes = sorted({*frame["u"], *frame["v"]})
-        edges = list(zip(frame["u"], frame["v"], frame["weight"], strict=True))
-        out, last = [], None
-        for r in resolutions:
-            got = _split_connected(louvain(nodes, edges, r), edges)
-            if got != last:
-                out += [(len({x[0] for x in out}), n, c) for n, c in got.items()]
-                last = got
-        return pd.DataFrame(out, columns=["level", "id", "community"])
-
-    return e.groupBy("component").applyInPandas(run, f"level int, id {kind}, community {kind}")
-
-
-def _split_connected(of: dict, edges: list[tuple]) -> dict:
-    """Communities cut into their connected parts, each named by its smallest member."""
-    root = {n: n for n in of}
-
-    def find(n):
-        while root[n] != n:
-            root[n] = root[root[n]]
-            n = root[n]
-        return n
-
-    for u, v, _ in edges:
-        if of[u] == of[v]:
-            a, b = find(u), find(v)
-            root[max(a, b)] = min(a, b)
-    return {n: find(n) for n in of}
+def leiden_levels(entities: DataFrame, relations: DataFrame, resolutions: tuple[float, ...] = LADDER, tolerance: float = 0.0) -> DataFrame:
+    """(level, id, community): nested communities from fine to coarse, each connected; see `modularity.leiden`."""
+    return leiden(entities, consolidated_edges(relations), resolutions, tolerance)
 
 
 def remove_chunks(rows: DataFrame, gone: list[str]) -> DataFrame:
