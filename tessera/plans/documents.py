@@ -98,7 +98,7 @@ def near_dup_leaders(spark: SparkSession, at: str) -> DataFrame:
     """The greedy choice over FNV fingerprints; its 64-bit wrap-around has no SQL form."""
     d = table(spark, at, "documents")
     prints = D.simhash(d, "doc_id", "text").join(d.select(F.col("doc_id").alias("id"), "source"), "id")
-    return D.leaders(D.near_pairs(prints.select("id", "source", "fp")), prints.select("id"))
+    return D.near_leaders(prints)
 
 
 def _versions(spark: SparkSession, at: str) -> DataFrame:
