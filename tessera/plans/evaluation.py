@@ -127,10 +127,11 @@ def jaccard_overlap(spark: SparkSession, at: str) -> DataFrame:
 
 @R.query(f"with {_PAIRS}, t as (select item_id, doc_id, list_distinct({_content('answer')}) as a, list_distinct({_content('fact')}) as f from pairs) select item_id, doc_id, round(case when len(a) = 0 then 0 else len(list_intersect(a, f)) / len(a) end, 6) as precision, round(case when len(f) = 0 then 0 else len(list_intersect(a, f)) / len(f) end, 6) as recall from t")
 def context_precision_recall(spark: SparkSession, at: str) -> DataFrame:
-    a, f = F.array_distinct(P.content_words(F.col("answer"))), F.array_distinct(P.content_words(F.col("fact")))
-    both = F.size(F.array_intersect(a, f))
-    share = lambda n: F.round(F.when(F.size(n) == 0, 0.0).otherwise(both / F.size(n)), 6)
-    return _pairs(spark, at).select("item_id", "doc_id", share(a).alias("precision"), share(f).alias("recall"))
+    # Each text's words and what both share are found once a row: a later step that used the expressions would find them anew.
+    x = _pairs(spark, at).select("item_id", "doc_id", *[F.array_distinct(P.content_words(F.col(c))).alias(c) for c in ("answer", "fact")])
+    x = x.select("item_id", "doc_id", F.size("answer").alias("a"), F.size("fact").alias("f"), F.size(F.array_intersect("answer", "fact")).alias("both"))
+    share = lambda n: F.round(F.when(F.col(n) == 0, 0.0).otherwise(F.col("both") / F.col(n)), 6)
+    return x.select("item_id", "doc_id", share("a").alias("precision"), share("f").alias("recall"))
 
 
 def _states(spark: SparkSession, at: str) -> DataFrame:
