@@ -8,6 +8,9 @@ The second index is complete. Under one order of all shingles, two sets of Jacca
 share a shingle among the first n - ceil(t n) + 1 of each. Texts meet under those; every pair that is not
 in one group yet and whose sizes and places allow the similarity is a candidate. The order puts
 shingles that are frequent in a sample last, which keeps postings short; any order gives the same links.
+Candidates of a large group of near copies grow with its square, so the index is first asked for one
+partner of each text, a few times over with the groups found so far. Most of a group is then joined, and only
+candidates of the texts that had a partner, between groups, come as pairs.
 
 Candidates are verified in two steps, both exact. Sets that differ in d shingles have parity maps that differ
 in d bits at most, so a pair whose maps differ in more bits than the similarity allows is let go. The rest
@@ -46,6 +49,8 @@ TASK_POSTINGS = 2_000_000
 SENT_NODES = 2_000_000
 #: Pairs that a task gathers before it gives the distinct ones on.
 HELD_PAIRS = 1 << 18
+#: Times that the complete index is asked for one partner a text before it is asked for all pairs that are left.
+PARTNER_ROUNDS = 2
 
 _SEEDS = [np.uint64((0x9E3779B97F4A7C15 * s) & (2**64 - 1)) for s in range(1, SEEDS + 1)]
 
@@ -291,7 +296,47 @@ def _maps_allow(maps: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray
 
 
 def complete_pairs(sketched: DataFrame, groups: DataFrame, least: float, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(a, b): every pair of texts of similarity `least` or more that groups (node, root) do not join, and others.
+    """(a, b): every pair of texts of similarity `least` or more that groups (node, root) do not join, and others."""
+    return _met(sketched, groups, least, order, None).where("a <> b").distinct()
+
+
+def partners(sketched: DataFrame, groups: DataFrame, least: float, order: tuple[np.ndarray, np.ndarray], nth: int) -> DataFrame:
+    """(node, by): for each text of a pair that complete_pairs has one partner, of a near fingerprint if there is one.
+
+    Of partners about as near all texts prefer the same ones, others in each round `nth`, so that a group of
+    near copies gathers around a few. There is a row for each text that has a candidate, whatever the group.
+    """
+    found = _met(sketched, groups, least, order, nth).groupBy("a").agg(F.min_by("b", "far").alias("by"))
+    return found.select(F.col("a").alias("node"), "by")
+
+
+class _Best:
+    """The partner of the lowest key for each text of a task."""
+
+    def __init__(self, node: np.ndarray, fp: np.ndarray, nth: int) -> None:
+        self.node, self.fp = node, fp
+        self.liked = _mixed(node.view(np.uint64), np.uint64(nth)) >> np.uint64(5)
+        self.far = np.full(len(node), np.iinfo(np.int64).max, np.int64)
+        self.by = np.zeros(len(node), np.int64)
+
+    def take(self, i: np.ndarray, j: np.ndarray) -> None:
+        apart = self.node[i] != self.node[j]
+        i, j = i[apart], j[apart]
+        step = (np.bitwise_count(self.fp[i] ^ self.fp[j]) >> 3).astype(np.uint64) << np.uint64(59)
+        for at, other in ((i, j), (j, i)):
+            far = (step | self.liked[other]).view(np.int64)
+            by = np.lexsort((far, at))
+            first = by[np.flatnonzero(np.diff(at[by], prepend=-1))]
+            first = first[far[first] < self.far[at[first]]]
+            self.far[at[first]], self.by[at[first]] = far[first], self.node[other[first]]
+
+    def rows(self) -> pa.RecordBatch:
+        have = self.far < np.iinfo(np.int64).max
+        return pa.RecordBatch.from_arrays([pa.array(c[have]) for c in (self.node, self.by, self.far)], names=["a", "b", "far"])
+
+
+def _met(sketched: DataFrame, groups: DataFrame, least: float, order: tuple[np.ndarray, np.ndarray], nth_round: int | None) -> DataFrame:
+    """(a, b) of all that meet in the complete index and may be alike, or (a, b, far) with a task's best b for each a.
 
     Postings travel packed: a batch sends each task one row with all that it posts there. Texts posted under
     keys of the order, the frequent ones, bring their parity maps, so that pairs of a long posting are let go
@@ -300,10 +345,11 @@ def complete_pairs(sketched: DataFrame, groups: DataFrame, least: float, order:
     n = int(sketched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = sketched.agg(F.sum(F.length("firsts"))).first()[0] or 0
     parts = max(n, -(-total // (4 * TASK_POSTINGS)))
-    rooted = sketched.select("node", "size", "firsts", "bits").join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", "firsts", "bits")
-    names = ["k", "nth", "of", "node", "root", "size", "mapped", "maps"]
+    one_each = nth_round is not None
+    rooted = sketched.select("node", "size", "firsts", "bits", F.get("fps", F.lit(0)).alias("fp")).join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", "firsts", "bits", "fp")
+    names = ["k", "nth", "of", "node", "root", "size", "mapped", "maps", "fp"]
     # A place beyond 16 bits counts as the last of them, which lets more pairs pass and none go.
-    kinds = [np.uint32, np.uint16, np.uint16, np.int64, np.int64, np.int32, np.bool_, np.uint64]
+    kinds = [np.uint32, np.uint16, np.uint16, np.int64, np.int64, np.int32, np.bool_, np.uint64, np.uint64]
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in slices(batches, 4096):
@@ -313,6 +359,7 @@ def complete_pairs(sketched: DataFrame, groups: DataFrame, least: float, order:
                 continue
             node, root, size = (x.column(i).to_numpy() for i in range(3))
             maps = np.frombuffer(b"".join(x.column(4).to_pylist()), np.uint64).reshape(len(n), -1)
+            fp = x.column(5).to_numpy()
             k = np.concatenate(firsts)
             frequent = np.isin(k, order[0])
             doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
@@ -326,7 +373,7 @@ def complete_pairs(sketched: DataFrame, groups: DataFrame, least: float, order:
                 mine, of = np.unique(doc[at], return_inverse=True)
                 mapped = np.zeros(len(mine), bool)
                 mapped[of[frequent[at]]] = True
-                out.append((p, *(c.tobytes() for c in (k[at], nth[at], of.astype(np.uint16), node[mine], root[mine], size[mine], mapped, maps[mine[mapped]]))))
+                out.append((p, *(c.tobytes() for c in (k[at], nth[at], of.astype(np.uint16), node[mine], root[mine], size[mine], mapped, maps[mine[mapped]], fp[mine] if one_each else fp[:0]))))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int32() if i == 0 else pa.binary()) for i in range(len(names) + 1)], names=["p", *names])
 
     packed = rooted.mapInArrow(post, "p int, " + ", ".join(f"{c} binary" for c in names))
@@ -343,7 +390,7 @@ def complete_pairs(sketched: DataFrame, groups: DataFrame, least: float, order:
                     c.append(v)
         if not texts:
             return
-        k, nth, of, node, root, size, mapped, maps = (np.concatenate(c) for c in held)
+        k, nth, of, node, root, size, mapped, maps, fp = (np.concatenate(c) for c in held)
         held.clear()
         maps = maps.reshape(-1, MAP_BITS // 64)
         place = np.where(mapped, np.cumsum(mapped) - 1, 0)
@@ -351,13 +398,16 @@ def complete_pairs(sketched: DataFrame, groups: DataFrame, least: float, order:
         k, nth, of = k[by], nth[by], of[by]
         many = size[of].astype(np.int64)
         pairs, waiting = [], 0
+        best = _Best(node, fp, nth_round) if one_each else None
         for i, j in _pairs_of_shingles(k, many, many - nth, root[of], least):
             i, j = of[i], of[j]
             both = mapped[i] & mapped[j]
             at = np.flatnonzero(both)
             both[at] = _maps_allow(maps, size[mapped], place[i[at]], place[j[at]], least)
             both |= ~(mapped[i] & mapped[j])
-            if both.any():
+            if best is not None:
+                best.take(i[both], j[both])
+            elif both.any():
                 pairs.append((node[i[both]], node[j[both]]))
                 waiting += int(both.sum())
             if waiting >= HELD_PAIRS:
@@ -365,8 +415,10 @@ def complete_pairs(sketched: DataFrame, groups: DataFrame, least: float, order:
                 pairs, waiting = [], 0
         if pairs:
             yield _pair_rows(*(np.concatenate(c) for c in zip(*pairs, strict=True)))
+        if best is not None:
+            yield best.rows()
 
-    return packed.repartitionById(parts, F.col("p")).mapInArrow(run, "a long, b long").where("a <> b").distinct()
+    return packed.repartitionById(parts, F.col("p")).mapInArrow(run, "a long, b long, far long" if one_each else "a long, b long")
 
 
 def map_filtered(pairs: DataFrame, sketched: DataFrame, least: float) -> DataFrame:
@@ -433,7 +485,16 @@ def similar_groups(df: DataFrame, text_col: str, words: int = 5, least: float =
     order = shingle_order(texts, words)
     sketched = stored(sketches(texts, words, least, order))
     links = verified(texts, _one_each(map_filtered(candidate_pairs(sketched), sketched, least)), words, least)
-    rest = map_filtered(complete_pairs(sketched, components(links, "a", "b"), least, order), sketched, least).checkpoint()
+    left = sketched
+    for nth in range(PARTNER_ROUNDS):
+        groups = components(links, "a", "b").checkpoint()
+        near = partners(left, groups, least, order, nth).checkpoint()
+        if near.isEmpty():
+            return groups
+        left = stored(left.join(near.select("node"), "node", "left_semi"))
+        pairs = near.select(F.least("node", "by").alias("a"), F.greatest("node", "by").alias("b")).distinct()
+        links = links.union(verified(texts, map_filtered(pairs, left, least).checkpoint(), words, least))
+    rest = map_filtered(complete_pairs(left, components(links, "a", "b"), least, order), left, least).checkpoint()
     # One pair of each text joins most of what is left; the pairs that are still apart are verified all.
     links = links.union(verified(texts, _one_each(rest), words, least))
     groups = components(links, "a", "b").checkpoint()
